@@ -187,7 +187,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
 
 SQL = r"""
 WITH t AS (
-  SELECT doc_id, list_filter(string_split_regex(lower(text), '[ \t\n\r\f\v]+'), x -> x <> '') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+  SELECT doc_id, list_filter(string_split_regex(lower(text), '[ \t\n\r\f\v]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
 ), s AS (
   SELECT doc_id, r.pos::BIGINT AS pos, md5(array_to_string(w[r.pos + 1 : r.pos + 50], ' ')) AS body FROM t, unnest(range(0, len(w) - 49)) AS r(pos) WHERE len(w) >= 50
 ), c AS (
