@@ -39,11 +39,17 @@ def quoted_strings(line: Column, longer_than: int = 20) -> Column:
 
 
 def byte_entropy(text: Column) -> Column:
-    """Shannon entropy in bits a byte of the UTF-8 form; an empty text has 0."""
-    pairs = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit(".."), F.lit(0))
-    n = F.size(pairs).cast("double")
-    counts = F.transform(F.array_distinct(pairs), lambda d: F.size(F.filter(pairs, lambda p: p == d)).cast("double"))
-    return F.when(n > 0, F.abs(F.aggregate(counts, F.lit(0.0), lambda acc, c: acc - (c / n) * F.log2(c / n)))).otherwise(F.when(text.isNotNull(), F.lit(0.0)))
+    """Shannon entropy in bits a byte of the UTF-8 form; an empty text has 0.
+
+    Bytes become characters (Latin-1), and each distinct one is counted by what its removal takes away, so
+    the lambda runs over distinct bytes only.
+    """
+    latin = F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+    n = F.octet_length(text).cast("double")
+    kinds = F.filter(F.array_distinct(F.split(latin, "")), lambda d: d != "")
+    share = lambda d: (n - F.length(F.replace(latin, d, F.lit("")))) / n
+    total = F.aggregate(F.transform(kinds, share), F.lit(0.0), lambda acc, x: acc - x * F.log2(x))
+    return F.when(n > 0, F.abs(total)).otherwise(F.when(text.isNotNull(), F.lit(0.0)))
 
 
 def rot13(text: Column) -> Column:
@@ -59,13 +65,13 @@ def printable(decoded: Column) -> Column:
 def decode_base64(run: Column) -> Column:
     """The text behind a strictly padded base64 run, if it is printable; else null."""
     raw = F.try_to_binary(run, F.lit("base64"))
-    text = F.decode(raw, "UTF-8")
+    text = F.try_validate_utf8(raw.cast("string"))
     strict = F.regexp_replace(F.base64(raw), r"\s", "") == run
     return F.when(strict & printable(text), text)
 
 
 def decode_hex(run: Column) -> Column:
-    text = F.decode(F.unhex(run), "UTF-8")
+    text = F.try_validate_utf8(F.unhex(run).cast("string"))
     return F.when(printable(text), text)
 
 
@@ -76,8 +82,8 @@ def sha256_hex(text: Column) -> Column:
 def snippet_fingerprint(snippet: Column) -> Column:
     """SHA-256 of at most 64 bytes of the trimmed snippet, cut between characters."""
     short = trimmed(snippet)
-    cut = F.decode(F.substring(F.encode(short, "UTF-8"), 1, 64), "UTF-8")
-    return sha256_hex(F.regexp_replace(cut, "�+\\z", ""))
+    cut = F.make_valid_utf8(F.substring(F.encode(short, "UTF-8"), 1, 64).cast("string"))
+    return sha256_hex(F.regexp_replace(cut, "\ufffd+\\z", ""))
 
 
 def escape_markup(text: Column) -> Column:

@@ -7,12 +7,13 @@ import json
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..config import Config
 from .detect import scan
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def pretty_json(objects: pd.Series) -> pd.Series:
     """Canonical layout, which decides line numbers: sorted keys, two blanks of indent. Null for what isn't JSON."""
 

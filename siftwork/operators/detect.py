@@ -123,11 +123,19 @@ def as_findings(hits: DataFrame, extra: list[str] | None = None) -> DataFrame:
     )
 
 
+def with_hit(rows: DataFrame, hit: Column, keep_missed: bool = False) -> DataFrame:
+    """Adds ``hit`` and drops rows where it is null, unless they are kept.
+
+    A generator computes it once; a filter on a projected column would be pushed below the projection, and
+    the whole cascade would run twice.
+    """
+    return rows.select("*", F.explode(F.array(hit) if keep_missed else F.array_compact(F.array(hit))).alias("hit"))
+
+
 def core_hits(docs: DataFrame, config: Config = Config(), deep: bool = False) -> DataFrame:
     """Candidates with their hit (null for none) and scope."""
-    rows = candidates(docs, config, deep)
     hit = first_hit(F.col("line"), F.col("path"), F.col("context"), entropy_threshold(F.col("path"), config.entropy_threshold), config)
-    return scope.with_suppression(rows.withColumn("hit", hit) if deep else rows.withColumn("hit", hit).filter(F.col("hit").isNotNull()))
+    return scope.with_suppression(with_hit(candidates(docs, config, deep), hit, deep))
 
 
 def scan(docs: DataFrame, config: Config = Config(), deep: bool = False) -> DataFrame:

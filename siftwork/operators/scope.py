@@ -9,8 +9,9 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..functions.paths import is_test_path, scope_extension
 
@@ -162,7 +163,10 @@ def in_comment(lines: list[str], at: int, ext: str) -> bool:
     return said.startswith(("#", "//"))
 
 
-@F.pandas_udf("struct<in_comment boolean, in_docstring boolean, in_test_function boolean>")
+_FLAGS = StructType([StructField(x, BooleanType()) for x in ("in_comment", "in_docstring", "in_test_function")])
+
+
+@F.pandas_udf(_FLAGS)
 def scope_of(lines: pd.Series, at: pd.Series, ext: pd.Series) -> pd.DataFrame:
     rows = [(False, False, False) if x is None else (in_comment(list(x), i, e), in_docstring(list(x), i, e), in_test_function(list(x), i, e)) for x, i, e in zip(lines, at, ext, strict=True)]
     return pd.DataFrame(rows, columns=["in_comment", "in_docstring", "in_test_function"])
@@ -176,14 +180,13 @@ def with_suppression(rows: DataFrame) -> DataFrame:
 
 
 # Forward states over (path, line_idx, line) tables.
-_BY_LINE = Window.partitionBy("path").orderBy("line_idx")
-_SO_FAR = _BY_LINE.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-_BEFORE = _BY_LINE.rowsBetween(Window.unboundedPreceding, -1)
+def _down_to(last: int) -> WindowSpec:
+    return Window.partitionBy("path").orderBy("line_idx").rowsBetween(Window.unboundedPreceding, last)
 
 
 def python_docstring(line: Column) -> Column:
     """Parity of triple quotes up to and including the line."""
-    odd = [F.sum(F.regexp_count(line, F.lit(q * 3))).over(_SO_FAR) % 2 == 1 for q in "\"'"]
+    odd = [F.sum(F.regexp_count(line, F.lit(q * 3))).over(_down_to(0)) % 2 == 1 for q in "\"'"]
     return odd[0] | odd[1]
 
 
@@ -191,15 +194,15 @@ def doc_block(line: Column) -> Column:
     """Between a line that begins a documentation block and the line that ends it, both included."""
     opens = F.regexp_like(line, F.lit(r"(?U)\A\s*/\*[*!]"))
     event = F.when(F.contains(line, F.lit("*/")), "close").when(opens, "open")
-    return opens | F.coalesce(F.last(event, ignorenulls=True).over(_BEFORE) == "open", F.lit(False))
+    return opens | F.coalesce(F.last(event, ignorenulls=True).over(_down_to(-1)) == "open", F.lit(False))
 
 
 def block_comment_depth(line: Column) -> Column:
     """Openings less closings of block comments up to and including the line."""
-    return F.sum(F.regexp_count(line, F.lit(r"/\*")) - F.regexp_count(line, F.lit(r"\*/"))).over(_SO_FAR)
+    return F.sum(F.regexp_count(line, F.lit(r"/\*")) - F.regexp_count(line, F.lit(r"\*/"))).over(_down_to(0))
 
 
 def html_comment(line: Column) -> Column:
     opens = F.contains(line, F.lit("<!--"))
     event = F.when(F.contains(line, F.lit("-->")), "close").when(opens, "open")
-    return opens | F.coalesce(F.last(event, ignorenulls=True).over(_BEFORE) == "open", F.lit(False))
+    return opens | F.coalesce(F.last(event, ignorenulls=True).over(_down_to(-1)) == "open", F.lit(False))
