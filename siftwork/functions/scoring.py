@@ -100,10 +100,9 @@ def classify(candidate: Column, rule_id: Column, weights: Weights = Weights()) -
     return F.struct(score.alias("score"), (score >= SECRET_FROM).alias("is_secret"), *[v.alias(k) for k, v in parts.items()])
 
 
-def nearby_bonus(before: Column, after: Column, line: Column) -> Column:
-    """What five lines on either side and an assignment add to the ensemble score."""
-    near = lambda lines: F.exists(lines, lambda x: contains_any(F.lower(x), KEYWORDS))
-    return F.when(near(before) | near(after), 0.15).otherwise(0.0) + F.when(contains_any(line, ["=", ":"]), 0.1).otherwise(0.0)
+def nearby_bonus(near: Column, line: Column) -> Column:
+    """What a keyword within five lines on either side and an assignment add to the ensemble score."""
+    return F.when(near, 0.15).otherwise(0.0) + F.when(contains_any(line, ["=", ":"]), 0.1).otherwise(0.0)
 
 
 def structure_boost(snippet: Column, rule_id: Column) -> Column:

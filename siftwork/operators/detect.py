@@ -6,6 +6,9 @@ rule can match fall out at a cheap trigger before anything else is computed for
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +17,8 @@ from ..functions import validators as V
 from ..functions.paths import entropy_threshold, scope_extension
 from ..functions.redact import redact_log_line
 from ..functions.rules import HIGH_ENTROPY, RULES, TRIGGER, Rule, java
-from ..functions.scoring import classify, confidence, nearby_bonus
-from ..functions.text import byte_entropy, lines_of, quoted_strings, trimmed
+from ..functions.scoring import KEYWORDS, classify, confidence, nearby_bonus
+from ..functions.text import byte_entropy, contains_any, lines_of, quoted_strings, trimmed
 from . import scope, semantic
 from .vetoes import is_allowed, is_known_example, is_listed, is_regex_code, line_veto, value_veto
 
@@ -79,42 +82,52 @@ def ignored_ranges(lines: Column, marker: str) -> Column:
     return F.when(F.exists(lines, lambda x: F.contains(x, start)), walked).otherwise(none)
 
 
-def numbered(docs: DataFrame, marker: str = "sift") -> DataFrame:
-    """(path, lines, ranges, i): one row a line; take the line as lines[i]. docs has path and text."""
-    base = docs.select("path", lines_of(F.col("text")).alias("lines"))
-    base = base.withColumn("ranges", ignored_ranges(F.col("lines"), marker))
-    return base.filter(F.size("lines") > 0).select("path", "lines", "ranges", F.explode(F.sequence(F.lit(0), F.size("lines") - 1)).alias("i"))
+def numbered(docs: DataFrame, marker: str = "sift", keep: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(path, code_lines, i, line, prev, next, inside, near): one row a line that ``keep`` accepts.
+
+    inside: in an ignore block. near: one of five lines on either side holds a keyword. What a line needs of
+    its neighbours is put into its own struct before the explosion, so that no row carries the whole
+    document, but for source code, whose scope needs it (code_lines).
+    """
+    base = docs.select("path", lines_of(F.col("text")).alias("lines")).filter(F.size("lines") > 0)
+    lines = F.col("lines")
+    base = base.withColumn("ranges", ignored_ranges(lines, marker)).withColumn("flags", F.transform(lines, lambda x: contains_any(F.lower(x), KEYWORDS)))
+    every = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("line")))
+    kept = every if keep is None else F.filter(every, lambda s: keep(s["line"]))
+    # Single look-ups: a slice would copy the whole array for every line.
+    near = lambda i: reduce(Column.__or__, [F.coalesce(F.get("flags", i + d), F.lit(False)) for d in (*range(-5, 0), *range(1, 6))])
+    told = F.transform(
+        kept,
+        lambda s: F.struct(
+            s["i"].alias("i"), s["line"].alias("line"), F.when(s["i"] > 0, F.get("lines", s["i"] - 1)).otherwise(F.lit("")).alias("prev"), F.coalesce(F.get("lines", s["i"] + 1), F.lit("")).alias("next"),
+            F.exists("ranges", lambda r: s["i"].between(r["s"], r["e"])).alias("inside"), near(s["i"]).alias("near"),
+        ),
+    )
+    code = F.when(scope_extension(F.col("path")).isin(scope.LANGUAGES), lines)
+    return base.select("path", code.alias("code_lines"), told.alias("told")).select("path", "code_lines", F.explode("told").alias("t")).select("path", "code_lines", "t.*")
 
 
 def candidates(docs: DataFrame, config: Config, deep: bool) -> DataFrame:
-    """(path, line_idx, line, context, before, after, lines): lines that aren't ignored, and can match unless ``deep``; lines only where scope needs them."""
-    line = F.col("lines")[F.col("i")]
-    inside = F.exists("ranges", lambda r: F.col("i").between(r["s"], r["e"]))
-    keep = (F.octet_length(line) <= config.skip_minified_threshold) & ~F.contains(line, F.lit(f"{config.marker}:ignore")) & ~F.contains(line, F.lit(f"{config.marker}:honeytoken")) & ~inside
-    if not deep and not config.custom:
+    """(path, line_idx, line, context, near, lines): lines that aren't ignored, and can match unless ``deep``; lines only where scope needs them."""
+    quick = not deep and not config.custom
+
+    def keep(line: Column) -> Column:
         # CASE keeps the order: the length cap comes before the regular expression.
-        keep = F.when(F.octet_length(line) > config.skip_minified_threshold, False).when(~F.regexp_like(line, F.lit(java(TRIGGER))), False).otherwise(keep)
-    at = F.col("i")
-    neighbour = lambda d: F.coalesce(F.get("lines", at + d), F.lit(""))
-    return (
-        numbered(docs, config.marker)
-        .filter(keep)
-        .select(
-            "path", F.col("i").alias("line_idx"), line.alias("line"), F.array(F.when(at > 0, neighbour(F.lit(-1))).otherwise(F.lit("")), line, neighbour(F.lit(1))).alias("context"),
-            F.slice("lines", F.greatest(at - 4, F.lit(1)), F.least(at, F.lit(5))).alias("before"), F.slice("lines", at + 2, F.lit(5)).alias("after"),
-            F.when(scope_extension(F.col("path")).isin(scope.LANGUAGES), F.col("lines")).alias("lines"),
-        )
-    )
+        cheap = ~F.contains(line, F.lit(f"{config.marker}:ignore")) & ~F.contains(line, F.lit(f"{config.marker}:honeytoken"))
+        out = F.when(F.octet_length(line) > config.skip_minified_threshold, False)
+        return (out.when(~F.regexp_like(line, F.lit(java(TRIGGER))), False) if quick else out).otherwise(cheap)
+
+    return numbered(docs, config.marker, keep).filter(~F.col("inside")).select("path", F.col("i").alias("line_idx"), "line", F.array("prev", "line", "next").alias("context"), "near", F.col("code_lines").alias("lines"))
 
 
 def as_findings(hits: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """Finished findings from (path, line_number, snippet, context, severity, description, rule_id) and, if there, verified, before, after, line, commit_hash."""
+    """Finished findings from (path, line_number, snippet, context, severity, description, rule_id) and, if there, verified, near, line, commit_hash."""
     have = set(hits.columns)
     verified = F.col("verified") if "verified" in have else F.lit(None).cast("boolean")
     conf = confidence(F.col("path"), F.col("snippet"), F.col("rule_id"), verified)
     ml = classify(F.col("snippet"), F.col("rule_id"))["score"]
-    if {"before", "after", "line"} <= have:
-        ml = F.least(F.lit(1.0), ml + nearby_bonus(F.col("before"), F.col("after"), F.col("line")))
+    if {"near", "line"} <= have:
+        ml = F.least(F.lit(1.0), ml + nearby_bonus(F.col("near"), F.col("line")))
     scored = hits.withColumn("_conf", conf).withColumn("_ml", ml)
     commit = F.col("commit_hash") if "commit_hash" in have else F.lit(None).cast("string")
     return scored.select(
@@ -134,14 +147,18 @@ def with_hit(rows: DataFrame, hit: Column, keep_missed: bool = False) -> DataFra
 
 def core_hits(docs: DataFrame, config: Config = Config(), deep: bool = False) -> DataFrame:
     """Candidates with their hit (null for none) and scope."""
-    hit = first_hit(F.col("line"), F.col("path"), F.col("context"), entropy_threshold(F.col("path"), config.entropy_threshold), config)
+    path = F.coalesce("path", F.lit(""))
+    hit = first_hit(F.col("line"), path, F.col("context"), entropy_threshold(path, config.entropy_threshold), config)
     return scope.with_suppression(with_hit(candidates(docs, config, deep), hit, deep))
 
 
 def scan(docs: DataFrame, config: Config = Config(), deep: bool = False) -> DataFrame:
-    """Findings of (path, text) rows, each a content scan of its own. No shuffle."""
+    """Findings of (path, text) rows, each a content scan of its own. No shuffle.
+
+    A null or empty text has none, a null path counts as an empty one, and repeated rows report each.
+    """
     rows = core_hits(docs, config, deep)
-    columns = ["path", (F.col("line_idx") + 1).alias("line_number"), trimmed(F.col("line")).alias("snippet"), "context", F.col("hit.severity").alias("severity"), F.col("hit.description").alias("description"), F.col("hit.rule_id").alias("rule_id"), "before", "after", "line"]
+    columns = ["path", (F.col("line_idx") + 1).alias("line_number"), trimmed(F.col("line")).alias("snippet"), "context", F.col("hit.severity").alias("severity"), F.col("hit.description").alias("description"), F.col("hit.rule_id").alias("rule_id"), "near", "line"]
     out = as_findings(rows.filter(F.col("hit").isNotNull() & ~F.col("suppressed")).select(*columns))
     if deep:
         missed = rows.filter(F.col("hit").isNull())

@@ -174,9 +174,9 @@ def scope_of(lines: pd.Series, at: pd.Series, ext: pd.Series) -> pd.DataFrame:
 
 def with_suppression(rows: DataFrame) -> DataFrame:
     """Adds ``suppressed``: the line is documentation, in a test function or in a test file. Comments alone aren't suppressed."""
-    ext = scope_extension(F.col("path"))
+    ext = scope_extension(F.coalesce("path", F.lit("")))
     s = scope_of("lines", "line_idx", ext)
-    return rows.withColumn("_scope", s).withColumn("suppressed", F.col("_scope.in_docstring") | F.col("_scope.in_test_function") | is_test_path(F.col("path"))).drop("_scope")
+    return rows.withColumn("_scope", s).withColumn("suppressed", F.col("_scope.in_docstring") | F.col("_scope.in_test_function") | is_test_path(F.coalesce("path", F.lit("")))).drop("_scope")
 
 
 # Forward states over (path, line_idx, line) tables.

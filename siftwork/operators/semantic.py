@@ -53,7 +53,7 @@ def decoded_hits(rows: DataFrame, config: Config) -> DataFrame:
         "path", (F.col("line_idx") + 1).alias("line_number"), trimmed(F.col("line")).alias("snippet"), F.when(decoded, F.col("context")).otherwise(F.array().cast("array<string>")).alias("context"),
         F.when(decoded, F.col("best.hit.severity")).otherwise(VENIAL).alias("severity"),
         F.when(decoded, F.concat(F.lit("["), F.col("best.label"), F.lit(" decoded] "), F.col("best.hit.description"))).otherwise("Variable with suspicious name contains non-trivial value").alias("description"),
-        F.when(decoded, F.col("best.hit.rule_id")).otherwise("SUSPICIOUS_VARNAME").alias("rule_id"), "before", "after", "line",
+        F.when(decoded, F.col("best.hit.rule_id")).otherwise("SUSPICIOUS_VARNAME").alias("rule_id"), "near", "line",
     )
 
 

@@ -85,9 +85,7 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {O.lines(O.DOCS)} SELECT path, i + 1 AS line_number, prev, line, next FROM lines")
 def line_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = detect.numbered(docs(spark, sf_dir))
-    at = lambda d: F.coalesce(F.get("lines", F.col("i") + d), F.lit(""))
-    return rows.select("path", (F.col("i") + 1).alias("line_number"), F.when(F.col("i") > 0, at(-1)).otherwise("").alias("prev"), at(0).alias("line"), at(1).alias("next"))
+    return detect.numbered(docs(spark, sf_dir)).select("path", (F.col("i") + 1).alias("line_number"), "prev", "line", "next")
 
 
 @query(f"WITH {O.lines(O.DOCS)} SELECT path, i + 1 AS line_number, strlen(line) AS bytes FROM lines WHERE strlen(line) > 10000")
@@ -115,8 +113,7 @@ def ignore_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     mark = lambda x, i: F.when((i + F.col("doc_id")) % 11 == 2, F.concat(x, F.lit(" sift:ignore-start"))).when((i + F.col("doc_id")) % 11 == 5, F.concat(x, F.lit(" sift:ignore-end"))).when((i + F.col("doc_id")) % 11 == 8, F.concat(x, F.lit(" sift:ignore"))).otherwise(x)
     marked = rows.withColumn("text", F.when(F.col("text") != "", F.array_join(F.transform(F.split("text", "\n"), mark), "\n")))
     lines = detect.numbered(from_table(marked, "text", "source", "doc_id"))
-    inside = F.exists("ranges", lambda r: F.col("i").between(r["s"], r["e"]))
-    return lines.filter(~inside & ~F.contains(F.get("lines", F.col("i")), F.lit("sift:ignore"))).select("path", (F.col("i") + 1).cast("bigint").alias("line_number"))
+    return lines.filter(~F.col("inside") & ~F.contains("line", F.lit("sift:ignore"))).select("path", (F.col("i") + 1).cast("bigint").alias("line_number"))
 
 
 # Rules.
@@ -350,10 +347,11 @@ QUALIFY keyword_line IS NOT NULL""")
 def nearby_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first line within five that holds a keyword, for lines that have one; arrays of a row, no shuffle."""
     rows = docs(spark, sf_dir).select("path", T.lines_of(F.col("text")).alias("lines"))
-    hits = F.filter(F.transform("lines", lambda x, i: F.when(T.contains_any(F.lower(x), KEYWORDS), i)), lambda i: i.isNotNull())
-    rows = rows.withColumn("hits", hits).filter(F.size("hits") > 0).select("path", "hits", F.explode(F.sequence(F.lit(0), F.size("lines") - 1)).alias("i"))
-    first = F.array_min(F.filter("hits", lambda h: (h != F.col("i")) & F.abs(h - F.col("i")).between(1, 5)))
-    return rows.select("path", (F.col("i") + 1).alias("line_number"), (first + 1).alias("keyword_line")).filter(F.col("keyword_line").isNotNull())
+    flags = F.transform("lines", lambda x, i: F.when(T.contains_any(F.lower(x), KEYWORDS), i))
+    rows = rows.withColumn("flags", flags).filter(F.exists("flags", lambda f: f.isNotNull()))
+    around = lambda i: F.array(*[F.get("flags", i + d) for d in (*range(-5, 0), *range(1, 6))])
+    first = rows.select("path", F.explode(F.transform("lines", lambda x, i: F.struct(i.alias("i"), F.array_min(around(i)).alias("first")))).alias("t"))
+    return first.filter("t.first IS NOT NULL").select("path", (F.col("t.i") + 1).alias("line_number"), (F.col("t.first") + 1).alias("keyword_line"))
 
 
 # Redaction.

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from functools import reduce
 from pathlib import Path
 from urllib.parse import unquote
 
@@ -74,7 +75,8 @@ def as_texts(files: DataFrame, config: Config = Config()) -> DataFrame:
     """
     kept = files.filter(path_filter(F.col("path"), config) & (F.col("length") <= config.max_file_size_mb << 20)).filter(~is_binary(F.col("content")))
     large = F.col("length") > STREAMED_MB << 20
-    whole = kept.filter(F.is_valid_utf8(F.col("content").cast("string"))).select("path", F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("file_hash"))
+    text = F.try_validate_utf8(F.col("content").cast("string"))
+    whole = kept.select("path", text.alias("text"), F.sha2("content", 256).alias("file_hash")).filter("text IS NOT NULL")
     cut = kept.filter(large & ~F.is_valid_utf8(F.col("content").cast("string"))).select("path", valid_lines("content").alias("text"), F.sha2("content", 256).alias("file_hash"))
     return whole.unionByName(cut)
 
@@ -115,20 +117,51 @@ def read_tree(spark: SparkSession, root: str, config: Config = Config(), paths:
     ``paths`` restricts the scan to some files, as those that git lists.
     """
     real = check_scan_path(root)
-    if paths is not None:
-        if not paths:
-            return spark.createDataFrame([], "path string, text string, file_hash string")
-        source = [f"file://{p}" for p in paths]
-    else:
-        source = [f"file://{real}"]
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(source).filter(F.col("length") <= config.max_file_size_mb << 20)
-    named = raw.select(F.regexp_replace("path", r"\Afile:/+", "/").alias("path"), "content", "length")
-    named = named.filter(~F.contains("path", F.lit("/.git/")))
+    hidden = sorted(_hidden(real)) if paths is None else [p for p in paths if _is_hidden(p)]
+    shown = [f"file://{real}"] if paths is None else [f"file://{p}" for p in paths if not _is_hidden(p)]
+    parts = ([_visible(spark, shown, config)] if shown else []) + ([_opened(spark, hidden, config)] if hidden else [])
+    if not parts:
+        return spark.createDataFrame([], "path string, text string, file_hash string")
+    named = reduce(DataFrame.unionByName, parts)
     if os.path.isdir(real):
         named = named.filter(not_ignored(F.col("path"), real))
     return as_texts(named, config)
 
 
+def _is_hidden(path: str) -> bool:
+    """Whether Spark's file sources pass over the file: a name on its way begins with a dot or an underscore."""
+    return any(part[:1] in (".", "_") for part in path.split("/"))
+
+
+def _hidden(root: str) -> Iterator[str]:
+    for folder, folders, names in os.walk(root):
+        folders[:] = [d for d in folders if d != ".git"]
+        inner = os.path.relpath(folder, root)
+        for name in names:
+            if _is_hidden(name) or (inner != "." and _is_hidden(inner)):
+                yield os.path.join(folder, name)
+
+
+def _opened(spark: SparkSession, paths: list[str], config: Config) -> DataFrame:
+    """(path, content, length) of files that Spark's own sources hide; executors open them."""
+    cap = config.max_file_size_mb << 20
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for p in frame["path"]:
+                if os.path.isfile(p) and os.path.getsize(p) <= cap:
+                    with open(p, "rb") as f:
+                        data = f.read()
+                    yield pd.DataFrame({"path": [p], "content": [data], "length": [len(data)]})
+
+    return spark.createDataFrame([(p,) for p in paths], "path string").mapInPandas(read, "path string, content binary, length bigint")
+
+
+def _visible(spark: SparkSession, source: list[str], config: Config) -> DataFrame:
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(source).filter(F.col("length") <= config.max_file_size_mb << 20)
+    return raw.select(F.regexp_replace("path", r"\Afile:/+", "/").alias("path"), "content", "length")
+
+
 def local_name(path: str) -> str:
     """A local path from a file URI."""
     return unquote(re.sub(r"\Afile:/+", "/", path))
