@@ -125,26 +125,86 @@ def _merge(slice_bits: int):
 
 
 def _windows(twice, bits: int, window: int, anchor: int):
+    """A row for each run of windows at successive words with one anchor that may occur twice; hashes are 16 bytes a window."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [np.frombuffer(x, np.uint8) for x in twice.value]
         for batch in batches:
             ids = batch.column(0)
             for words, owner, place, may in _segments(batch.column(1).to_pylist(), window):
-                starts, values, _ = _anchors(words, may, window, anchor)
+                starts, values, places = _anchors(words, may, window, anchor)
                 hit = np.ones(len(starts), dtype=bool)
                 for row, filled in enumerate(rows):
                     slot = _slots(values, row, bits)
                     hit &= (filled[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 > 0
-                starts = starts[hit]
-                if len(starts):
-                    a, b = rolling(words, window, 0)[starts], rolling(words, window, 1)[starts]
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner[starts])), pa.array(place[starts]), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["doc_id", "at", "h1", "h2"])
+                starts, values, places = starts[hit], values[hit], places[hit]
+                if not len(starts):
+                    continue
+                hashes = np.empty((len(starts), 2), np.uint64)
+                hashes[:, 0], hashes[:, 1] = rolling(words, window, 0)[starts], rolling(words, window, 1)[starts]
+                first = np.flatnonzero(np.concatenate([[True], (np.diff(starts) != 1) | (np.diff(places) != 0)]))
+                offsets = np.append(first, len(starts)).astype(np.int32) * 16
+                blobs = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(hashes.tobytes())])
+                at = starts[first]
+                yield pa.RecordBatch.from_arrays([pa.array(values[first].view(np.int64)), ids.take(pa.array(owner[at])), pa.array(place[at]), blobs], ["anchor", "doc_id", "at", "hashes"])
 
     return run
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, most_bits: int = MOST_BITS) -> DataFrame:
-    """(doc_id, at, copies, first_id, first_at): every window that occurs more than once, with its first occurrence."""
+def _spans(ids: np.ndarray, at: np.ndarray, blobs: list[bytes]) -> pa.RecordBatch | None:
+    """Of all runs of some anchors: the stretches of windows that occur again, with what is known of them."""
+    sizes = np.array([len(b) // 16 for b in blobs])
+    hashes = np.frombuffer(b"".join(blobs), np.uint64).reshape(-1, 2)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    doc, where = ids[row], at[row] + np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    order = np.lexsort((where, doc, hashes[:, 1], hashes[:, 0]))
+    h = hashes[order]
+    head = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]).any(axis=1)]))
+    count = np.diff(np.append(head, len(order)))
+    copies, first = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    copies[order], first[order] = np.repeat(count, count), np.repeat(order[head], count)
+    again = np.flatnonzero(copies > 1)
+    if not len(again):
+        return None
+    begin = np.flatnonzero(np.concatenate([[True], (np.diff(again) != 1) | (np.diff(row[again]) != 0)]))
+    later = (doc[first] != doc) | (where[first] != where)
+    ends = np.append(begin[1:], len(again)) - 1
+    return pa.RecordBatch.from_arrays(
+        [pa.array(doc[again[begin]]), pa.array(where[again[begin]]), pa.array(where[again[ends]]), pa.array(np.maximum.reduceat(copies[again], begin)), pa.array(np.minimum.reduceat(doc[first][again], begin)), pa.array(np.maximum.reduceat(later[again].astype(np.int32), begin))],
+        ["doc_id", "start", "end", "copies", "first_id", "later"],
+    )
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Exact counts in rows sorted by anchor; what is held is the runs of one anchor, or a batch."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]] = []
+
+    def flush() -> pa.RecordBatch | None:
+        out = _spans(np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held]), [b for x in held for b in x[3]]) if held else None
+        held.clear()
+        return out
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        anchors, ids, at, blobs = np.asarray(batch.column(0)), np.asarray(batch.column(1)), np.asarray(batch.column(2)), batch.column(3).to_pylist()
+        cut = int(np.flatnonzero(anchors == anchors[-1])[0])
+        same = bool(held) and held[-1][0][-1] == anchors[0]
+        if cut or not same:
+            if cut:
+                held.append((anchors[:cut], ids[:cut], at[:cut], blobs[:cut]))
+            if (out := flush()) is not None:
+                yield out
+        held.append((anchors[cut:], ids[cut:], at[cut:], blobs[cut:]))
+    if (out := flush()) is not None:
+        yield out
+
+
+def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, most_bits: int = MOST_BITS) -> DataFrame:
+    """(doc_id, start, end, copies, first_id, later): stretches of successive windows, all of one anchor, that occur more than once.
+
+    Windows travel by anchor and in runs, so that a shuffled row stands for a dozen of them.
+    """
     docs = only(docs, ["doc_id", "text"]).filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint"), "text")
     spark = docs.sparkSession
     characters = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
@@ -157,10 +217,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     for row, at, data in merged.toLocalIterator():  # 2 ** most_bits / 8 bytes a row at most
         filled[row][at * step : (at + 1) * step] = np.frombuffer(data, np.uint8)
     twice = spark.sparkContext.broadcast([x.tobytes() for x in filled])
-    found = docs.mapInArrow(_windows(twice, bits, window, anchor), "doc_id bigint, at bigint, h1 bigint, h2 bigint")
-    same = Window.partitionBy("h1", "h2")
-    first = F.min(F.struct("doc_id", "at")).over(same)
-    return found.select("doc_id", "at", F.count(F.lit(1)).over(same).alias("copies"), first.alias("_f")).filter("copies > 1").select("doc_id", "at", "copies", F.col("_f.doc_id").alias("first_id"), F.col("_f.at").alias("first_at"))
+    found = docs.mapInArrow(_windows(twice, bits, window, anchor), "anchor bigint, doc_id bigint, at bigint, hashes binary")
+    return found.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_counted, "doc_id bigint, start bigint, `end` bigint, copies bigint, first_id bigint, later int")
 
 
 def repeated_passages(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, most_bits: int = MOST_BITS) -> DataFrame:
@@ -174,13 +232,14 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
     shorter than the window have no rows. Rows that repeat a doc_id count as further occurrences, and
     their equal runs are listed once. An empty table gives an empty one.
     """
-    hits = repeated_windows(docs, window, anchor, most_bits)
-    once = hits.groupBy("doc_id", "at").agg(F.max("copies").alias("copies"), F.min("first_id").alias("first_id"), F.max((~((F.col("first_id") == F.col("doc_id")) & (F.col("first_at") == F.col("at")))).cast("int")).alias("later"))
-    run = F.col("at") - F.row_number().over(Window.partitionBy("doc_id").orderBy("at"))
+    spans = repeated_spans(docs, window, anchor, most_bits)
+    order = Window.partitionBy("doc_id").orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = spans.withColumn("_new", (reach.isNull() | (F.col("start") > reach + 1)).cast("int"))
     return (
-        once.withColumn("_run", run)
+        marked.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy("doc_id", "_run")
-        .agg(F.min("at").alias("start_word"), (F.max("at") - F.min("at") + window).alias("n_words"), F.max("copies").alias("copies"), F.min("first_id").alias("first_doc_id"), (F.max("later") > 0).alias("removable"))
+        .agg(F.min("start").alias("start_word"), (F.max("end") - F.min("start") + window).alias("n_words"), F.max("copies").alias("copies"), F.min("first_id").alias("first_doc_id"), (F.max("later") > 0).alias("removable"))
         .drop("_run")
     )
 
