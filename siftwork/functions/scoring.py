@@ -48,49 +48,27 @@ def char_frequency_score(candidate: Column) -> Column:
 _CHARSETS = {"alphanum": "[A-Za-z0-9_-]", "base64": "[A-Za-z0-9+/=_.-]", "hex": "[0-9A-Fa-f]"}
 
 
-def _by_rule(rule_id: Column, value, otherwise: Column) -> Column:
-    """A CASE over rules, one branch for each distinct expression."""
-    groups: dict[tuple, list[str]] = {}
-    made = {}
-    for r in RULES:
-        key, make = value(r)
-        groups.setdefault(key, []).append(r.id)
-        made[key] = make
-    out = None
-    for key, ids in groups.items():
-        out = (F if out is None else out).when(rule_id.isin(ids), made[key]())
-    return out.otherwise(otherwise)
+def _of_rule(rule_id: Column, values: dict[str, str | int | None]) -> Column:
+    """A value by rule from a constant map, which is one expression however many rules there are; null for other rules."""
+    told = {k: v for k, v in values.items() if v is not None}
+    return F.element_at(F.expr("map(" + ", ".join(f"'{k}', " + (str(v) if isinstance(v, int) else f"'{v}'") for k, v in told.items()) + ")"), rule_id)
 
 
 def structural_score(candidate: Column, rule_id: Column) -> Column:
     n = F.octet_length(candidate)
-
-    def value(r):
-        def make() -> Column:
-            score = F.lit(0.5)
-            if r.prefix:
-                score = score + F.when(F.startswith(candidate, F.lit(r.prefix)), 0.25).otherwise(-0.3)
-            if r.length:
-                score = score + F.when(n.between(*r.length), 0.2).otherwise(-0.2)
-            if r.charset:
-                score = score + F.when(F.regexp_like(candidate, F.lit(rf"\A{_CHARSETS[r.charset]}*\z")), 0.1).otherwise(-0.1)
-            return _clamp(score)
-
-        return (r.prefix, r.length, r.charset), make
-
-    return _by_rule(rule_id, value, F.lit(0.5))
+    prefix, charset = _of_rule(rule_id, {r.id: r.prefix for r in RULES}), _of_rule(rule_id, {r.id: r.charset for r in RULES})
+    low, high = (_of_rule(rule_id, {r.id: r.length and r.length[i] for r in RULES}) for i in (0, 1))
+    fits = None
+    for kind, chars in _CHARSETS.items():
+        fits = (F if fits is None else fits).when(charset == kind, F.regexp_like(candidate, F.lit(rf"\A{chars}*\z")))
+    parts = [(F.startswith(candidate, prefix), 0.25, -0.3), (n.between(low, high), 0.2, -0.2), (fits, 0.1, -0.1)]
+    return _clamp(sum((F.when(test, good).when(~test, bad).otherwise(0.0) for test, good, bad in parts), F.lit(0.5)))
 
 
 def length_score(candidate: Column, rule_id: Column) -> Column:
     n = F.octet_length(candidate)
-
-    def scored(low: int, high: int) -> Column:
-        return F.when(n.between(low, high), 1.0).when(n < low, n / low).otherwise(_clamp(1.0 - (n - high) / high * 0.5, 0.1))
-
-    def value(r):
-        return (r.length or (16, 500)), lambda: scored(*(r.length or (16, 500)))
-
-    return _by_rule(rule_id, value, scored(16, 500))
+    low, high = (F.coalesce(_of_rule(rule_id, {r.id: r.length and r.length[i] for r in RULES}), F.lit(d)) for i, d in ((0, 16), (1, 500)))
+    return F.when(n.between(low, high), 1.0).when(n < low, n / low).otherwise(_clamp(1.0 - (n - high) / high * 0.5, 0.1))
 
 
 def classify(candidate: Column, rule_id: Column, weights: Weights = Weights()) -> Column:

@@ -89,7 +89,7 @@ def numbered(docs: DataFrame, marker: str = "sift", keep: Callable[[Column], Col
     its neighbours is put into its own struct before the explosion, so that no row carries the whole
     document, but for source code, whose scope needs it (code_lines).
     """
-    base = docs.select("path", lines_of(F.col("text")).alias("lines")).filter(F.size("lines") > 0)
+    base = docs.select("path", lines_of(F.col("text")).alias("lines"))  # no filter on them: it would be pushed below and split every text twice
     lines = F.col("lines")
     base = base.withColumn("ranges", ignored_ranges(lines, marker)).withColumn("flags", F.transform(lines, lambda x: contains_any(F.lower(x), KEYWORDS)))
     every = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("line")))
@@ -104,7 +104,8 @@ def numbered(docs: DataFrame, marker: str = "sift", keep: Callable[[Column], Col
         ),
     )
     code = F.when(scope_extension(F.col("path")).isin(scope.LANGUAGES), lines)
-    return base.select("path", code.alias("code_lines"), told.alias("told")).select("path", "code_lines", F.explode("told").alias("t")).select("path", "code_lines", "t.*")
+    # The generator takes the expression itself: for a column of that name a filter on its size would be inferred, pushed below and computed again.
+    return base.select("path", code.alias("code_lines"), F.explode(told).alias("t")).select("path", "code_lines", "t.*")
 
 
 def candidates(docs: DataFrame, config: Config, deep: bool) -> DataFrame:
