@@ -40,27 +40,52 @@ def masks(radius: int = RADIUS, bits: int = 64) -> np.ndarray:
     return np.array(out, dtype=np.uint64)
 
 
+#: A lane of 64 bits counts 8 bits of the hash in its bytes.
+_LANE = np.uint64(0x0101010101010101)
+#: Weights are 2 + round(2 ln count), 40 at most; sums of so many words, or of so many extra weights, fit a byte.
+_WORDS, _MOST = 255, 38
+
+
+def _ones(owner: np.ndarray, features: np.ndarray, weight: np.ndarray | None, n: int) -> np.ndarray:
+    """(n, 64) sums of the features' bits for each owner (sorted), each counted ``weight`` times."""
+    votes = np.zeros((n, 64), dtype=np.int64)
+    if not len(owner):
+        return votes
+    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    sizes = np.diff(np.append(first, len(owner)))
+    place = np.arange(len(owner)) - np.repeat(first, sizes)
+    chunk = np.flatnonzero(place % (_WORDS if weight is None else _WORDS // _MOST) == 0)
+    mine = owner[chunk]
+    heads = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
+    for j in range(8):
+        lane = (features >> np.uint64(j)) & _LANE
+        if weight is not None:
+            lane *= weight
+        bytes_ = np.add.reduceat(lane, chunk).view(np.uint8).reshape(-1, 8)
+        votes[mine[heads], j::8] = np.add.reduceat(bytes_, heads, axis=0, dtype=np.int64)
+    return votes
+
+
 def _simhash(owner: np.ndarray, features: np.ndarray, n: int) -> np.ndarray:
-    """64-bit SimHash of each of n texts from its features (hashes, repeated as often as they occur)."""
+    """64-bit SimHash of each of n texts from its features (hashes, repeated as often as they occur).
+
+    Features are sorted together with their owner in one word of 24 and 40 bits, and hashed anew from
+    those 40; sums of bits are kept in the bytes of eight lanes.
+    """
     out = np.zeros(n, dtype=np.uint64)
     if not len(features):
         return out
-    order = np.lexsort((features, owner))
-    owner, features = owner[order], features[order]
-    new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (features[1:] != features[:-1])]))
-    counts = np.diff(np.append(new, len(features)))
-    owner, features = owner[new], features[new]
-    weight = (1 + np.log(counts)).astype(np.float32)
-    step = 1 << 16
-    votes = np.zeros((n, 64), dtype=np.float64)
-    for at in range(0, len(features), step):
-        part = features[at : at + step]
-        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
-        bits = (bits * 2 - 1) * weight[at : at + step, None]
-        mine = owner[at : at + step]
-        first = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
-        votes[mine[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.float64)
-    return np.packbits(np.round(votes, 6) > 0, axis=1, bitorder="little").view(np.uint64).ravel()
+    bits = np.uint64(40)
+    keys = np.sort((owner.astype(np.uint64) << bits) | (features >> np.uint64(24)))
+    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    counts = np.diff(np.append(new, len(keys)))
+    keys = keys[new]
+    owner, features = (keys >> bits).astype(np.int64), mix(keys & np.uint64((1 << 40) - 1))
+    extra = np.minimum(np.round(2 * np.log(counts)), _MOST).astype(np.uint64)
+    more = np.flatnonzero(extra)
+    total = 2 * np.bincount(owner, minlength=n) + np.bincount(owner[more], extra[more], minlength=n).astype(np.int64)
+    votes = 2 * _ones(owner, features, None, n) + _ones(owner[more], features[more], extra[more], n)
+    return np.packbits(2 * votes > total[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 def hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,45 +137,64 @@ def _scatter(cover: np.ndarray, tasks: int):
     return run, kind
 
 
-class _Forest:
-    """Union-find by dictionaries."""
-
-    def __init__(self):
-        self.up: dict = {}
-
-    def find(self, x):
-        root = x
-        while (p := self.up.get(root, root)) != root:
-            root = p
-        while (p := self.up.get(x, x)) != root:
-            self.up[x] = root
-            x = p
-        return root
-
-    def join(self, a, b) -> bool:
-        a, b = self.find(a), self.find(b)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True
-
-
-def near_pairs(entries: np.ndarray, cover: np.ndarray, radius: int, confirm: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of entries that share a bucket and are within radius and confirm."""
-    masked = entries["h1"] & cover[entries["mask"]]
-    order = np.lexsort((masked, entries["mask"]))
-    masked, table, h1, h2 = masked[order], entries["mask"][order], entries["h1"][order], entries["h2"][order]
-    alive = np.arange(len(order))
-    gap = 1
+def near_edges(entries: np.ndarray, cover: np.ndarray, radius: int, confirm: int) -> np.ndarray:
+    """(a1, a2, b1, b2) of a spanning forest of the pairs that share a bucket and are within radius and confirm.
+
+    All pairs of a bucket compete, at growing distances in its order, but for those that are connected
+    already; a bucket ends when it is one component, so thousands of near copies cost little more than
+    their number.
+    """
+    bucket = mix((entries["h1"] & cover[entries["mask"]]) + entries["mask"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    order = np.lexsort((entries["h1"], bucket))
+    bucket = bucket[order]
+    twin = np.zeros(len(order), dtype=bool)
+    twin[1:] = bucket[1:] == bucket[:-1]
+    twin[:-1] |= twin[1:]
+    order, bucket = order[twin], bucket[twin]
+    if not len(order):
+        return np.zeros((0, 4), np.uint64)
+    h1, h2 = entries["h1"][order], entries["h2"][order]
+    by = np.lexsort((h2, h1))
+    fresh = np.concatenate([[True], (h1[by][1:] != h1[by][:-1]) | (h2[by][1:] != h2[by][:-1])])
+    node = np.empty(len(order), np.int64)
+    node[by] = np.cumsum(fresh) - 1
+    root = np.arange(int(fresh.sum()))
+    starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    number = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(bucket))))
+    edges: list[tuple[int, int]] = []
+    alive, gap = np.arange(len(order)), 1
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            x = root[x]
+        return x
+
     while len(alive):
         alive = alive[alive + gap < len(order)]
-        other = alive + gap
-        same = (table[alive] == table[other]) & (masked[alive] == masked[other])
-        alive, other = alive[same], other[same]
-        close = (np.bitwise_count(h1[alive] ^ h1[other]) <= radius) & (np.bitwise_count(h2[alive] ^ h2[other]) <= confirm)
-        if close.any():
-            yield order[alive[close]], order[other[close]]
+        alive = alive[number[alive] == number[alive + gap]]
+        a, b = alive, alive + gap
+        apart = root[node[a]] != root[node[b]]
+        a, b = a[apart], b[apart]
+        close = (np.bitwise_count(h1[a] ^ h1[b]) <= radius) & (np.bitwise_count(h2[a] ^ h2[b]) <= confirm)
+        a, b = a[close], b[close]
+        if len(a):
+            _, one = np.unique(root[node[a]] * len(root) + root[node[b]], return_index=True)
+            for i, j in zip(a[one].tolist(), b[one].tolist(), strict=True):
+                x, y = find(node[i]), find(node[j])
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    edges.append((i, j))
+            while not np.array_equal(up := root[root], root):
+                root = up
+        if gap & (gap - 1) == 0:
+            mine = root[node]
+            whole = np.minimum.reduceat(mine, starts) == np.maximum.reduceat(mine, starts)
+            alive = alive[~whole[number[alive]]]
         gap += 1
+    if not edges:
+        return np.zeros((0, 4), np.uint64)
+    e = np.array(edges)
+    return np.stack([h1[e[:, 0]], h2[e[:, 0]], h1[e[:, 1]], h2[e[:, 1]]], axis=1)
 
 
 def _buckets(cover: np.ndarray, kind: np.dtype, radius: int, confirm: int):
@@ -160,14 +204,8 @@ def _buckets(cover: np.ndarray, kind: np.dtype, radius: int, confirm: int):
             for task, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 blobs.setdefault(task, []).append(blob)
         for task in sorted(blobs):
-            entries = np.frombuffer(b"".join(blobs.pop(task)), dtype=kind)
-            forest, edges = _Forest(), []
-            for i, j in near_pairs(entries, cover, radius, confirm):
-                for a, b in zip(zip(entries["h1"][i].tolist(), entries["h2"][i].tolist(), strict=True), zip(entries["h1"][j].tolist(), entries["h2"][j].tolist(), strict=True), strict=True):
-                    if a != b and forest.join(a, b):
-                        edges.append((*a, *b))
-            if edges:
-                e = np.array(edges, dtype=np.uint64).view(np.int64)
+            e = near_edges(np.frombuffer(b"".join(blobs.pop(task)), dtype=kind), cover, radius, confirm).view(np.int64)
+            if len(e):
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e[:, c])) for c in range(4)], ["a1", "a2", "b1", "b2"])
 
     return run
