@@ -30,11 +30,15 @@ TASK_ENTRIES = 2_000_000
 
 
 def masks(radius: int = RADIUS, bits: int = 64) -> np.ndarray:
-    """One mask for each non-zero vector of radius + 1 bits."""
-    size = 1 << (radius + 1)
-    vectors = np.random.default_rng(20240229).permutation(np.resize(np.arange(1, size), bits))
+    """One mask for each non-zero vector of radius + 1 bits.
+
+    The bits' own vectors all have the top bit set and are otherwise spread evenly: then no mask is small, as
+    every one holds half of the bits or all of them.
+    """
+    half = 1 << radius
+    vectors = half + np.resize(np.random.default_rng(20240229).permutation(half), bits)
     out = []
-    for v in range(1, size):
+    for v in range(1, 2 * half):
         odd = np.bitwise_count(vectors & v) & 1
         out.append(sum(1 << i for i in range(bits) if odd[i]))
     return np.array(out, dtype=np.uint64)

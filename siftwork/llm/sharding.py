@@ -36,7 +36,7 @@ def document_links(docs: DataFrame, least_line: int = LEAST_LINE) -> DataFrame:
 def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, slack: float = SLACK, least_line: int = LEAST_LINE) -> DataFrame:
     """(doc_id, shard, first_shard): one row for each distinct doc_id.
 
-    first_shard is where it began: ranks in hash order dealt round, so sizes differ by one at most. No shard
+    first_shard is where it began: ranks (by hash bucket, then id) dealt round, so sizes differ by one at most. No shard
     exceeds ceil((1 + slack) * documents / shards) documents. Null ids are left out; a doc_id that repeats
     is one document with the lines of all its rows. Documents that are null, empty or without shared lines
     don't move. Ties between shards go to the one where the document is, else to the lower number. An empty
