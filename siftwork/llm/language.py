@@ -228,7 +228,7 @@ def keep_identified(docs: DataFrame, model: TextModel) -> DataFrame:
     The decision is joined by doc_id. The rejected rows are few in a healthy corpus: they are broadcast
     while they are, and shuffled with the documents beyond that.
     """
-    docs = tidy(docs, ["doc_id", "text", "lang", "source"])
+    docs = tidy(docs, ["doc_id", "text", "lang", "source"], ("_id", "_key"))
     key = F.xxhash64("text", "lang", "source")
     judged = identify(docs.select("doc_id", key.alias("_key"), F.lower("lang").alias("declared"), F.col("source").alias("host"), F.col("text").alias("body")), model)
     out = durable(judged.filter(~F.col("accepted")).select(F.col("doc_id").alias("_id"), "_key").distinct())

@@ -56,7 +56,7 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     the word null. Rows that share a doc_id and a source draw the same count. An empty table gives an
     empty one. Extra columns stay (see ``tidy`` for clashing names).
     """
-    docs = tidy(docs, ["doc_id", "text", "source"], ("copy",))
+    docs = tidy(docs, ["doc_id", "text", "source"], ("copy", "_source", "_parts", "_cdf", "_drawn", "_key"))
     rates = durable(source_rates(docs, weights, budget).select(F.col("source").alias("_source"), F.col("parts").alias("_parts"), F.col("cdf").alias("_cdf")))
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     number = rates.count()

@@ -284,7 +284,7 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, confirm: int = C
     First is the least doc_id, then the least hash of the text. Documents without words all stay. Of rows
     with the same id and text one stays.
     """
-    docs = tidy(docs, ["doc_id", "text"])
+    docs = tidy(docs, ["doc_id", "text"], ("_id", "_key", "_own", "_n"))
     lost = durable(_placed(docs, radius, confirm).filter("group_size > 1").groupBy("doc_id", "key").agg(F.max((F.col("n") == 1).cast("int")).alias("_own"), F.count(F.lit(1)).alias("_rows")).filter("_own = 0 OR _rows > 1").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "_own"))
     side = maybe_broadcast(lost, lost.count(), 32)
     marked = docs.join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left").drop("_id", "_key")

@@ -184,7 +184,7 @@ def redact_secrets(docs: DataFrame, model: MarkovRatio) -> DataFrame:
 
     Null and empty texts and texts without secrets stay as they are, with their n_chars.
     """
-    docs = tidy(docs, ["text", "n_chars"])
+    docs = tidy(docs, ["text", "n_chars"], ("_new",))
     names = docs.columns
     kind = docs.schema["n_chars"].dataType
 
