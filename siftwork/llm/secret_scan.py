@@ -2,7 +2,8 @@
 
 Two second-order models of characters, one of random strings and one of ordinary identifiers, are
 trained from labelled samples; a token is a secret if the log-likelihood ratio of the first to the second is
-high enough. Candidate tokens are found by the JVM, so only texts that hold one reach Python.
+high enough, and so is the stretch of a token whose ratio is, whatever name or path it is glued to. Candidate
+tokens are found by the JVM, so only texts that hold one reach Python.
 """
 
 from __future__ import annotations
@@ -21,13 +22,22 @@ from pyspark.sql import functions as F
 from .common import only, tidy
 
 #: A token: letters, digits and the signs of base64 and of key prefixes, at least this many in a row.
-LEAST = 16
+LEAST = 8
+#: Fewer characters are no token of their own, but may be a stretch.
+WHOLE = 16
 #: A match is at most 4096 characters and never continues a run, so that base64 blobs come in pieces of equal standing.
 TOKEN = rf"[A-Za-z0-9+/_=-]{{{LEAST},4096}}"
 TOKEN_RE = re.compile(TOKEN)
+#: Fewer than WHOLE letters in one case are a word, of a rare language perhaps.
+WORD_RE = re.compile(r"[A-Za-z]?[a-z]+|[A-Z]+")
+PART_RE = re.compile(rf"[^=/]{{{WHOLE},}}")
 #: Least log-likelihood ratio, in nats, of the whole token and of a character.
 TOTAL = 10.0
 MEAN = 0.35
+#: Least ratio of a stretch, the best of many in its token, where ordinary words reach TOTAL now and then.
+STRETCH = 20.0
+#: What glues parts of a token; a stretch is reported up to these.
+GLUE = "=/_-"
 #: Ordinary words for training: the least hashes of so many documents at most. The bound is on fitting only.
 FIT_ROWS = 2000
 SEED = 17
@@ -100,14 +110,19 @@ class MarkovRatio:
             logs.append(np.log((three + backoff * two[None]) / (three.sum(axis=2, keepdims=True) + backoff)))
         return cls((logs[0] - logs[1]).astype(np.float32))
 
+    def _flat(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ratio of each character of all tokens, where each token begins)."""
+        sizes = np.array([len(t) for t in tokens])
+        begins = np.cumsum(sizes) - sizes
+        codes = np.full(int(sizes.sum()) + 2 * len(tokens), _N - 1)  # two codes before each token begin it
+        own = np.arange(int(sizes.sum())) + np.repeat(2 * np.arange(1, len(tokens) + 1), sizes)
+        codes[own] = _codes("".join(tokens))
+        return self.table[codes[own - 2], codes[own - 1], codes[own]].astype(np.float64), begins
+
     def score(self, tokens: list[str]) -> np.ndarray:
         if not tokens:
             return np.zeros(0)
-        coded = [_codes(t) for t in tokens]
-        triples = [_triples(c) for c in coded]
-        flat = self.table[tuple(np.concatenate([t[i] for t in triples]) for i in range(3))].astype(np.float64)
-        begins = np.cumsum([0] + [len(c) for c in coded])[:-1]
-        return np.add.reduceat(flat, begins)
+        return np.add.reduceat(*self._flat(tokens))
 
     def secret(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(log-likelihood ratio, decision) of non-empty tokens. Tokens of digits only are numbers, not secrets."""
@@ -116,6 +131,67 @@ class MarkovRatio:
         mixed = np.array([not t.strip("=-_+/").isdigit() and any(c.isalnum() for c in t) for t in tokens], dtype=bool)
         return score, (score >= TOTAL) & (score >= MEAN * size) & mixed
 
+    def spans(self, tokens: list[str]) -> list[list[tuple[int, int, float]]]:
+        """(start, end, ratio) of each secret in each of the tokens, which aren't empty.
+
+        A token that is a secret as a whole is one. Of any other token it is the parts between "=" and "/" that
+        are secrets by themselves, and in what is left the stretches of greatest ratio beyond MEAN a character,
+        up to the glue around them.
+        """
+        out: list[list[tuple[int, int, float]]] = [[] for _ in tokens]
+        if not tokens:
+            return out
+        score, yes = self.secret(tokens)
+        flat, begins = self._flat(tokens)
+        reach = np.add.reduceat(np.maximum(flat, 0), begins)
+        yes &= np.array([len(t) >= WHOLE for t in tokens])
+        for i in np.flatnonzero(yes):
+            out[i].append((0, len(tokens[i]), float(score[i])))
+        parts = [(i, m.start(), m.end()) for i in np.flatnonzero(~yes).tolist() if "=" in tokens[i] or "/" in tokens[i] for m in PART_RE.finditer(tokens[i])]
+        score, part = self.secret([tokens[i][a:b] for i, a, b in parts])
+        for (i, a, b), x, y in zip(parts, score, part, strict=True):
+            if y:
+                out[i].append((a, len(tokens[i]) if not tokens[i][b:].strip("=") else b, float(x)))
+        for i in np.flatnonzero(~yes & (reach >= STRETCH)).tolist():
+            if len(tokens[i]) < WHOLE and WORD_RE.fullmatch(tokens[i]):
+                continue
+            ends = [0, *(x for a, b, _ in out[i] for x in (a, b)), len(tokens[i])]
+            out[i] = sorted(out[i] + _stretches(tokens[i], flat[begins[i] : begins[i] + len(tokens[i])].tolist(), list(zip(ends[::2], ends[1::2], strict=True))))
+        return out
+
+
+def _stretches(token: str, ratio: list[float], todo: list[tuple[int, int]]) -> list[tuple[int, int, float]]:
+    """(start, end, ratio) of the disjoint stretches of a token that are secrets, within the ranges ``todo``."""
+    out = []
+    while todo:
+        low, high = todo.pop()
+        if sum(x for x in ratio[low:high] if x > 0) < STRETCH:
+            continue
+        best, now, a, b, begin = 0.0, 0.0, low, low, low
+        for i in range(low, high):
+            if now <= 0:
+                now, begin = 0.0, i
+            now += ratio[i] - MEAN
+            if now > best:
+                best, a, b = now, begin, i + 1
+        if a == b:
+            continue
+        start, end = a, b
+        while a < b and token[a] in GLUE:
+            a += 1
+        score = sum(ratio[a:b])
+        if score >= STRETCH and any(c.isalpha() for c in token[a:b]):
+            start = a
+            while start > low and token[start - 1] not in GLUE:
+                start -= 1
+            while end < high and token[end] not in GLUE:
+                end += 1
+            if not token[end:high].strip("="):
+                end = high
+            out.append((start, end, score))
+        todo += [(low, start), (end, high)]
+    return out
+
 
 def _codes(token: str) -> np.ndarray:
     return _CODE[np.minimum(np.frombuffer(token.encode("latin-1", "replace"), dtype=np.uint8), 127)]
@@ -135,28 +211,32 @@ def fit_secret_model(docs: DataFrame, rows: int = FIT_ROWS) -> MarkovRatio:
     return MarkovRatio.fit(labelled_samples([r[0] for r in words]))
 
 
+def _secrets(model: MarkovRatio, texts: list[str]) -> list[tuple[int, int, int, float]]:
+    """(index of the text, start, end, ratio) of every secret; a token that repeats is scored once."""
+    places: dict[str, list[tuple[int, int]]] = {}
+    for i, text in enumerate(texts):
+        for m in TOKEN_RE.finditer(text):
+            places.setdefault(m[0], []).append((i, m.start()))
+    found = zip(places.values(), model.spans(list(places)), strict=True)
+    return sorted((i, at + a, at + b, score) for where, spans in found for a, b, score in spans for i, at in where)
+
+
 def _findings(model: MarkovRatio):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, starts, tokens = [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                for m in TOKEN_RE.finditer(text):
-                    owner.append(i)
-                    starts.append(m.start())
-                    tokens.append(m[0])
-            if not tokens:
+            texts = batch.column(1).to_pylist()
+            found = _secrets(model, texts)
+            if not found:
                 continue
-            score, yes = model.secret(tokens)
-            at = np.flatnonzero(yes)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(np.array(owner)[at])), pa.array(np.array(starts, dtype=np.int32)[at]), pa.array([len(tokens[i]) for i in at], pa.int32()), pa.array([tokens[i] for i in at], pa.string()), pa.array(np.round(score[at], 4))], ["doc_id", "start", "length", "secret", "score"]
+                [batch.column(0).take(pa.array([i for i, *_ in found])), pa.array([a for _, a, _, _ in found], pa.int32()), pa.array([b - a for _, a, b, _ in found], pa.int32()), pa.array([texts[i][a:b] for i, a, b, _ in found], pa.string()), pa.array([round(x, 4) for *_, x in found])], ["doc_id", "start", "length", "secret", "score"]
             )
 
     return run
 
 
 def find_secrets(docs: DataFrame, model: MarkovRatio) -> DataFrame:
-    """(doc_id, start, length, secret, score): every secret token; start counts characters from 0.
+    """(doc_id, start, length, secret, score): every secret token or stretch of one; start counts characters from 0.
 
     score is the log-likelihood ratio in nats. Null and empty texts hold none; null ids stay null, and
     repeated rows report their secrets each. An empty table gives an empty one.
@@ -166,19 +246,18 @@ def find_secrets(docs: DataFrame, model: MarkovRatio) -> DataFrame:
     return docs.filter(F.regexp_like("text", F.lit(TOKEN))).mapInArrow(_findings(model), f"doc_id {kind}, start int, length int, secret string, score double")
 
 
-def redact(model: MarkovRatio, text: str) -> str:
-    found = [(m.start(), m.end()) for m in TOKEN_RE.finditer(text)]
-    if not found:
-        return text
-    _, yes = model.secret([text[a:b] for a, b in found])
+def _without(text: str, found: list[tuple[int, int]]) -> str:
     out, at = [], 0
-    for (a, b), y in zip(found, yes, strict=True):
-        if y:
-            out += [text[at:a], PLACEHOLDER]
-            at = b
+    for a, b in found:
+        out += [text[at:a], PLACEHOLDER]
+        at = b
     return "".join(out) + text[at:]
 
 
+def redact(model: MarkovRatio, text: str) -> str:
+    return _without(text, [(a, b) for _, a, b, _ in _secrets(model, [text])])
+
+
 def redact_secrets(docs: DataFrame, model: MarkovRatio) -> DataFrame:
     """``docs`` with every secret in text replaced by PLACEHOLDER and n_chars set to the new length; no row is lost.
 
@@ -190,7 +269,10 @@ def redact_secrets(docs: DataFrame, model: MarkovRatio) -> DataFrame:
 
     @F.pandas_udf("string")
     def cleaned(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else (new if (new := redact(model, t)) != t else None))
+        found: dict[int, list[tuple[int, int]]] = {}
+        for i, a, b, _ in _secrets(model, ["" if t is None else t for t in texts]):
+            found.setdefault(i, []).append((a, b))
+        return pd.Series([_without(t, found[i]) if i in found else None for i, t in enumerate(texts)], index=texts.index, dtype=object)
 
     out = docs.withColumn("_new", cleaned(F.when(F.regexp_like("text", F.lit(TOKEN)), F.col("text"))))
     done = {"text": F.coalesce("_new", "text"), "n_chars": F.when(F.col("_new").isNotNull(), F.length("_new").cast(kind)).otherwise(F.col("n_chars"))}
