@@ -28,14 +28,30 @@ CLOSES = {
 WALLS = frozenset("html body div article section main aside nav header footer table ul ol dl td th blockquote".split())
 SKIPPED = frozenset("script style noscript template textarea title head iframe svg".split())
 RAW = frozenset("script style textarea title".split())
+#: All that may stand in a head; anything else ends one that is open.
+IN_HEAD = frozenset("html head title base basefont bgsound link meta style script noscript template noframes".split())
+#: Of these one without an end tag ends where a block of the body starts.
+LOOSE = frozenset("noscript template iframe svg".split())
+BLOCKS = frozenset(CLOSES) | {"body"}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
 MARKS = re.compile(r"[.,;:!?…。，、；：！？¿¡\"“”«»()]")
 
 
+def _unclosed(page: str, at: int, name: str) -> bool:
+    """Whether the element that begins before ``at`` has no end tag of its own."""
+    depth = 1
+    for m in re.compile(rf"<(/?){name}(?=[\s/>])[^>]*>", re.I).finditer(page, at):
+        depth += -1 if m[1] else not m[0].endswith("/>")
+        if not depth:
+            return False
+    return True
+
+
 def text_nodes(page: str) -> list[tuple[str, str]]:
     """(path, text) of the visible text nodes in their order; white space is folded, blank nodes are left out."""
     stack: list[str] = []
     nodes: list[tuple[str, str]] = []
+    loose: list[int] = []  # places in the stack of elements that lack an end tag
     at, end = 0, len(page)
     while at < end:
         m = TOKEN.match(page, at)
@@ -45,6 +61,8 @@ def text_nodes(page: str) -> list[tuple[str, str]]:
             said = m[0]
             if said[0] == "<" and len(said) > 1:
                 continue
+            if stack and stack[-1] == "head" and not said.isspace():
+                stack.pop()
             if any(t in SKIPPED for t in stack):
                 continue
             said = " ".join(html.unescape(said).split())
@@ -57,6 +75,13 @@ def text_nodes(page: str) -> list[tuple[str, str]]:
                 while stack.pop() != name:
                     pass
             continue
+        while loose and loose[-1] >= len(stack):
+            loose.pop()
+        if name in BLOCKS and loose:
+            del stack[loose[0] :]
+            loose.clear()
+        if "head" in stack and (name == "body" or stack[-1] == "head" and name not in IN_HEAD):
+            del stack[stack.index("head") :]
         if ends := CLOSES.get(name):
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i] in ends:
@@ -70,6 +95,8 @@ def text_nodes(page: str) -> list[tuple[str, str]]:
             close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
             at = close.end() if close else end
             continue
+        if name in LOOSE and _unclosed(page, at, name):
+            loose.append(len(stack))
         stack.append(name)
     return nodes
 

@@ -3,7 +3,7 @@
 import random
 import string
 
-from siftwork.llm import neardup, secret_scan
+from siftwork.llm import html_extract, neardup, secret_scan
 
 _letters = random.Random(40)
 VOCABULARY = ["".join(_letters.choices(string.ascii_lowercase, k=_letters.randint(2, 10))) for _ in range(5000)]
@@ -66,3 +66,13 @@ def test_names_without_secrets_have_no_stretch():
     held = [t for t, y in secret_scan.labelled_samples(invented[200:], seed=98, n=1500) if not y]
     assert sum(map(bool, model.spans(held))) <= 0.02 * len(held)
     assert model.spans(["-" * 4096, "=" * 70, "2024-01-02", "555-7713-0001", "//////////", "spddhhik", "LEOIKLLC", "Oacficpk"]) == [[]] * 8
+
+
+def test_pages_without_end_tags_keep_their_text():
+    body = "".join(f"<p>Sentence number {i}, which has some length, says: here is the story. It goes on, and on." for i in range(8))
+    for start in ("<head><title>T</title><meta charset=utf-8><body>", "<head><title>T</title><link rel=x>", "<head><title>T</title><noscript>no</noscript><div>", "<body><noscript>On<div>", "<body><svg><path d=x>", "<body><template><b>x</b>", "<body><iframe src=x>", "<head><noscript><link rel=x><body>"):
+        content, kept, nodes = html_extract.extract(f"<!doctype html><html>{start}{body}</html>")
+        assert content.count("Sentence number") == 8 and kept == 8, start
+    assert html_extract.text_nodes("<html><head><title>T</title>Words") == [("html", "Words")]
+    closed = "<html><head><noscript><style>a</style></noscript></head><body><noscript><p>no</p></noscript><svg><g><svg></svg><text>no</text></g></svg><p>yes"
+    assert html_extract.text_nodes(closed) == [("html/body/p", "yes")]
