@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .kept import kept
 from .rules import RULES, java
 from .text import byte_entropy, quoted_strings
 
@@ -36,5 +37,11 @@ def redact_line(line: Column, rule_id: Column, visible: int = 4, enabled: bool =
     return out.otherwise(F.when(match.isNotNull(), F.replace(line, match, redact_secret(match, visible))).otherwise(line))
 
 
+@kept
+def masked_snippet(visible: int = 4, enabled: bool = True, extra: tuple = ()) -> Column:
+    """:func:`redact_line` of the columns snippet and rule_id."""
+    return redact_line(F.col("snippet"), F.col("rule_id"), visible, enabled, extra=list(extra))
+
+
 def redact_log_line(line: Column) -> Column:
     return F.when(F.octet_length(line) <= 20, line).otherwise(F.concat(F.substring(line, 1, 8), F.lit("...REDACTED..."), F.substring(line, -8, 8)))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import validators as V
+from ..functions.kept import kept
 from ..functions.paths import entropy_threshold, scope_extension
 from ..functions.redact import redact_log_line
 from ..functions.rules import HIGH_ENTROPY, RULES, TRIGGER, Rule, java
@@ -57,11 +58,11 @@ def first_hit(line: Column, path: Column, context: Column, threshold: Column, co
     found = F.filter(rule_matches(line, rules), lambda m: ~_vetoed(m, config))
     skip = config.entropy_skip_regex_context if skip_regex_code is None else skip_regex_code
     strings = F.filter(quoted_strings(line), lambda q: ~(is_listed(q, config.whitelist) | value_veto(q) | is_allowed(q, config.allow_regexes)) & (byte_entropy(q) > threshold))
-    ruled = F.get(found, F.lit(0))
-    high = F.get(strings, F.lit(0))
+    # One look-up each, of a finished struct: inside a conditional nothing is shared, so every field taken from an array would build that array anew.
+    ruled = F.get(F.transform(found, lambda m: F.struct(*[m[c].alias(c) for c in ("rule_id", "severity", "description", "match")])), F.lit(0))
+    high = F.get(F.transform(strings, lambda q: F.struct(*_hit(HIGH_ENTROPY), q.alias("match"))), F.lit(0))
     high = F.when(~is_regex_code(line), high) if skip else high
-    picked = F.when(ruled.isNotNull(), F.struct(ruled["rule_id"].alias("rule_id"), ruled["severity"].alias("severity"), ruled["description"].alias("description"), ruled["match"].alias("match")))
-    return F.when(~line_veto(path, line, context), F.coalesce(picked, F.when(high.isNotNull(), F.struct(*_hit(HIGH_ENTROPY), high.alias("match")))))
+    return F.when(~line_veto(path, line, context), F.coalesce(ruled, high))
 
 
 def ignored_ranges(lines: Column, marker: str) -> Column:
@@ -121,15 +122,22 @@ def candidates(docs: DataFrame, config: Config, deep: bool) -> DataFrame:
     return numbered(docs, config.marker, keep).filter(~F.col("inside")).select("path", F.col("i").alias("line_idx"), "line", F.array("prev", "line", "next").alias("context"), "near", F.col("code_lines").alias("lines"))
 
 
+@kept
+def _confidence(has_verified: bool) -> Column:
+    return confidence(F.col("path"), F.col("snippet"), F.col("rule_id"), F.col("verified") if has_verified else F.lit(None).cast("boolean"))
+
+
+@kept
+def _ensemble(in_context: bool) -> Column:
+    score = classify(F.col("snippet"), F.col("rule_id"))["score"]
+    return F.least(F.lit(1.0), score + nearby_bonus(F.col("near"), F.col("line"))) if in_context else score
+
+
 def as_findings(hits: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """Finished findings from (path, line_number, snippet, context, severity, description, rule_id) and, if there, verified, near, line, commit_hash."""
     have = set(hits.columns)
     verified = F.col("verified") if "verified" in have else F.lit(None).cast("boolean")
-    conf = confidence(F.col("path"), F.col("snippet"), F.col("rule_id"), verified)
-    ml = classify(F.col("snippet"), F.col("rule_id"))["score"]
-    if {"near", "line"} <= have:
-        ml = F.least(F.lit(1.0), ml + nearby_bonus(F.col("near"), F.col("line")))
-    scored = hits.withColumn("_conf", conf).withColumn("_ml", ml)
+    scored = hits.select("*", _confidence("verified" in have).alias("_conf"), _ensemble({"near", "line"} <= have).alias("_ml"))
     commit = F.col("commit_hash") if "commit_hash" in have else F.lit(None).cast("string")
     return scored.select(
         "path", F.col("line_number").cast("int").alias("line_number"), "snippet", "context", "severity", "description", "rule_id", commit.alias("commit_hash"), verified.alias("verified"),
@@ -146,11 +154,15 @@ def with_hit(rows: DataFrame, hit: Column, keep_missed: bool = False) -> DataFra
     return rows.select("*", F.explode(F.array(hit) if keep_missed else F.array_compact(F.array(hit))).alias("hit"))
 
 
+@kept
+def _core_hit(config: Config) -> Column:
+    path = F.coalesce("path", F.lit(""))
+    return first_hit(F.col("line"), path, F.col("context"), entropy_threshold(path, config.entropy_threshold), config)
+
+
 def core_hits(docs: DataFrame, config: Config = Config(), deep: bool = False) -> DataFrame:
     """Candidates with their hit (null for none) and scope."""
-    path = F.coalesce("path", F.lit(""))
-    hit = first_hit(F.col("line"), path, F.col("context"), entropy_threshold(path, config.entropy_threshold), config)
-    return scope.with_suppression(with_hit(candidates(docs, config, deep), hit, deep))
+    return scope.with_suppression(with_hit(candidates(docs, config, deep), _core_hit(config), deep))
 
 
 def scan(docs: DataFrame, config: Config = Config(), deep: bool = False) -> DataFrame:

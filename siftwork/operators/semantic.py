@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..functions.kept import kept
 from ..functions.paths import entropy_threshold
 from ..functions.rules import MORTAL, VENIAL, java
 from ..functions.text import byte_entropy, decode_base64, decode_hex, lines_of, rot13, trimmed
@@ -40,14 +41,22 @@ def concatenated(line: Column) -> Column:
     return F.concat(F.regexp_extract(line, java(CONCAT), 1), F.regexp_extract(line, java(CONCAT), 2))
 
 
-def decoded_hits(rows: DataFrame, config: Config) -> DataFrame:
-    """For lines without a core hit: the first decoded text that has one, else a telling variable name."""
+@kept
+def _decoded_hit(config: Config) -> Column:
     from .detect import first_hit
 
     threshold = entropy_threshold(F.col("path"), config.entropy_threshold)
     hits = F.transform(decoded_texts(F.col("line")), lambda d: F.struct(first_hit(d["text"], F.col("path"), F.col("context"), threshold, config).alias("hit"), d["label"].alias("label")))
-    best = F.get(F.filter(hits, lambda h: h["hit"].isNotNull()), F.lit(0))
-    found = rows.withColumn("best", best).withColumn("telling", telling_value(F.col("line"))).filter(F.col("best").isNotNull() | F.col("telling").isNotNull())
+    return F.get(F.filter(hits, lambda h: h["hit"].isNotNull()), F.lit(0))
+
+
+def decoded_hits(rows: DataFrame, config: Config) -> DataFrame:
+    """For lines without a core hit: the first decoded text that has one, else a telling variable name.
+
+    A generator computes both once; a filter on projected columns would be pushed below and compute them again.
+    """
+    both = F.struct(_decoded_hit(config).alias("best"), telling_value(F.col("line")).alias("telling"))
+    found = rows.select("*", F.explode(F.array(both)).alias("_t")).select("*", "_t.*").filter(F.col("best").isNotNull() | F.col("telling").isNotNull())
     decoded = F.col("best").isNotNull()
     return found.select(
         "path", (F.col("line_idx") + 1).alias("line_number"), trimmed(F.col("line")).alias("snippet"), F.when(decoded, F.col("context")).otherwise(F.array().cast("array<string>")).alias("context"),

@@ -12,11 +12,11 @@ from ..config import Config
 from ..functions import paths as P
 from ..functions import text as T
 from ..functions import validators as V
-from ..functions.redact import redact_line, redact_log_line, redact_secret
+from ..functions.redact import masked_snippet, redact_log_line, redact_secret
 from ..functions.rules import RULES, custom_rule, java
 from ..functions.scoring import KEYWORDS, classify
 from ..operators import admission, complexity, detect, honeytokens, iac, remediation, scope, semantic, state, vetoes
-from ..session import shared_dir
+from ..session import shared_dir, spread
 from ..sources.files import from_table
 from ..sources.rule_files import rule_table
 from ..streaming import monitor
@@ -45,21 +45,26 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _wide(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are work for all cores, even as a small file of one row group."""
+    return spread(_table(spark, sf_dir, name))
+
+
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_table(_table(spark, sf_dir, "documents"), "text", "source", "doc_id")
+    return from_table(_wide(spark, sf_dir, "documents"), "text", "source", "doc_id")
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "pages").withColumn("folder", F.lit("pages"))
+    rows = _wide(spark, sf_dir, "pages").withColumn("folder", F.lit("pages"))
     return from_table(rows, "html", "folder", "page_id", suffix=".html")
 
 
 def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_table(_table(spark, sf_dir, "conversations"), "text", "conv_id", "turn")
+    return from_table(_wide(spark, sf_dir, "conversations"), "text", "conv_id", "turn")
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_lines(_table(spark, sf_dir, "orders"))
+    return token_lines(_wide(spark, sf_dir, "orders"))
 
 
 def doc_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -359,7 +364,7 @@ def nearby_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {O.hits(O.TOKENS)} SELECT path, line_number, rule_id, {O.redacted()} AS snippet FROM found")
 def redact_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_findings(spark, sf_dir).select("path", "line_number", "rule_id", redact_line(F.col("snippet"), F.col("rule_id")).alias("snippet"))
+    return token_findings(spark, sf_dir).select("path", "line_number", "rule_id", masked_snippet().alias("snippet"))
 
 
 @query(f"WITH t AS ({O.TOKENS}) SELECT path, {O.redact_secret('text')} AS secret, {_LOG_SNIPPET.replace('line', 'text')} AS log FROM t")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.redact import redact_line
+from ..functions.redact import masked_snippet, redact_line
 from ..functions.text import escape_markup
 from ..operators.remediation import suggested_line
 
@@ -30,7 +30,7 @@ def ordered(findings: DataFrame) -> DataFrame:
 
 def redacted(findings: DataFrame, config: Config = Config()) -> DataFrame:
     """Findings whose snippets are masked, those of custom rules too."""
-    masked = redact_line(F.col("snippet"), F.col("rule_id"), config.redact_visible_chars, config.redact_secrets, extra=list(config.custom))
+    masked = masked_snippet(config.redact_visible_chars, config.redact_secrets, config.custom)
     return findings.withColumn("snippet", masked)
 
 
@@ -127,7 +127,7 @@ def terminal_rows(findings: DataFrame, config: Config = Config(), colour: bool =
 
 def before_after(findings: DataFrame, config: Config = Config()) -> DataFrame:
     """(path, before, after): for each file the redacted snippets and their replacements, by line."""
-    pair = F.struct("line_number", "rule_id", redact_line(F.col("snippet"), F.col("rule_id"), config.redact_visible_chars, config.redact_secrets).alias("before"), suggested_line(F.col("snippet"), F.col("rule_id")).alias("after"))
+    pair = F.struct("line_number", "rule_id", masked_snippet(config.redact_visible_chars, config.redact_secrets).alias("before"), suggested_line(F.col("snippet"), F.col("rule_id")).alias("after"))
     files = findings.groupBy("path").agg(F.sort_array(F.collect_list(pair)).alias("s"))
     return files.select("path", F.col("s.before").alias("before"), F.col("s.after").alias("after"))
 

@@ -8,7 +8,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = Path(__file__).resolve().parent
 _SENT = "_siftwork_sent"
@@ -25,6 +25,17 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def spread(df: DataFrame, least_bytes: int = 1 << 20) -> DataFrame:
+    """``df`` over all cores where its files give fewer partitions than that (one row group can't be split); else as it is.
+
+    Large inputs have many splits, so only small ones are ever shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution()
+    few = plan.toRdd().getNumPartitions() < cores and plan.optimizedPlan().stats().sizeInBytes() >= least_bytes
+    return df.repartition(cores) if few else df
+
+
 def _zipped() -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
