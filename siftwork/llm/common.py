@@ -5,7 +5,11 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -97,6 +101,19 @@ def ranked(df: DataFrame, group: list[str], order: list[str], rows: int, name: s
     return put.withColumn("_place", place).join(offsets, keys).withColumn(name, F.col("_before") + F.col("_place")).drop("_bucket", "_place", "_before")
 
 
+def bounded(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 << 20, rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that ``column`` (strings) has about ``most`` bytes in each piece, whatever lengths its texts have; one row at least."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column % batch.num_columns)), 0), dtype=np.int64)
+        room = np.maximum((np.cumsum(sizes) - sizes) // most, np.arange(len(sizes)) // rows)
+        # A piece begins where the bytes or the rows before it fill another share.
+        starts = np.flatnonzero(np.concatenate([[True], room[1:] != room[:-1]]))
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(sizes)], strict=True):
+            yield batch.slice(a, b - a)
+
+
 def unit_hash(*parts: Column | str) -> Column:
     """A number in [0, 1) from the first 13 hex digits of an MD5 digest; DuckDB computes the same."""
     return F.conv(F.substring(F.md5(F.concat(*parts)), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))

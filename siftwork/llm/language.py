@@ -16,13 +16,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, durable, tidy
+from .common import BROADCAST_BYTES, bounded, durable, maybe_broadcast, only, tidy
 from .html_extract import text_nodes
 
 #: Buckets of the trigram table.
 TABLE = 1 << 16
 #: Labelled documents a language that the text model is fitted on (the least of a hash of doc_id).
 FIT_ROWS = 300
+#: Labels, the most frequent ones, that the text model knows; the bound is on fitting only.
+LANGUAGES = 128
+#: Characters that numpy works on at once.
+STEP = 1 << 18
 #: Pseudo-counts with which a level of the prior trusts the level above.
 TRUST = 20.0
 #: A text's likelihood counts as if it had at most this many independent trigrams, so that metadata can matter to short texts only.
@@ -33,77 +37,132 @@ FLOOR = 0.0
 SURE = 0.5
 
 
-def _grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket of each trigram, where each text's begin and the end); letters only, lower case, anything else a blank."""
-    folded = [" ".join((t or "").lower().split()) for t in texts]
-    joined = "  ".join(folded) + "    "
-    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    letters = _LETTER[np.minimum(points, 0xFFFF)] | (points > 0xFFFF)
-    points = np.where(letters, points, np.uint32(32))
+_LETTER = np.array([chr(i).isalpha() for i in range(0x10000)])
+#: Code point of the lower-case letter, 32 for anything but letters.
+_FOLD = np.array([ord(low) if is_letter and len(low := chr(i).lower()) == 1 else i if is_letter else 32 for i, is_letter in enumerate(_LETTER)], dtype=np.uint32)
+
+
+def _fold(text: str) -> np.ndarray:
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return np.where(points > 0xFFFF, points, _FOLD[np.minimum(points, 0xFFFF)])
+
+
+def _grams(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, place of the middle) of each trigram whose middle is a letter; anything but a letter is a blank."""
     h = (points[:-2] * np.uint32(0x9E3779B1)) ^ (points[1:-1] * np.uint32(0x85EBCA77)) ^ (points[2:] * np.uint32(0xC2B2AE3D))
     h = ((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(16)
-    blank = ~letters
-    void = blank[1:-1] & (blank[:-2] | blank[2:])  # no letter in the middle and a blank beside it tell nothing
-    sizes = np.array([len(f) + 2 for f in folded])
-    begins = np.concatenate([[0], np.cumsum(sizes)])
-    keep = np.flatnonzero(~void)
-    return h[keep].astype(np.int64), np.searchsorted(keep, begins)
+    keep = np.flatnonzero(points[1:-1] != 32)
+    return h[keep], keep
 
 
-_LETTER = np.array([chr(i).isalpha() for i in range(0x10000)])
-
+def _parts(texts: list[str | None], size: int = STEP) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first text, where each text's trigrams begin and the end, folded points) of some ``size`` characters each.
 
-def _steps(texts: list[str | None], size: int = 1 << 20) -> Iterator[tuple[int, list[str | None]]]:
-    at, now = 0, 0
-    for i, t in enumerate(texts):
-        now += len(t or "")
-        if now >= size or i == len(texts) - 1:
-            yield at, texts[at : i + 1]
-            at, now = i + 1, 0
+    Short texts share a part; a long one is cut into several, each with a neighbour's character at the cut, so
+    that its trigrams are the same wherever it is cut.
+    """
+    run: list[str] = []
+    first = length = 0
+    for i, text in enumerate(texts):
+        text = text or ""
+        long = len(text) > size
+        if run and (long or length >= size):
+            yield first, np.cumsum([0, *(len(t) + 1 for t in run)]), _fold(f" {' '.join(run)} ")
+            run, length = [], 0
+        if long:
+            for at in range(0, len(text), size):
+                piece = text[max(0, at - 1) : at + size + 1]
+                yield i, np.array([0, min(size, len(text) - at)]), _fold((" " * (at == 0)) + piece + (" " * (at + size >= len(text))))
+            continue
+        if not run:
+            first = i
+        run.append(text)
+        length += len(text) + 1
+    if run:
+        yield first, np.cumsum([0, *(len(t) + 1 for t in run)]), _fold(f" {' '.join(run)} ")
 
 
 class TextModel:
-    """log P(bucket | language) less that of a uniform choice, a column a language."""
+    """log P(bucket | language) less that of a uniform choice, a column a language; a model may have no languages."""
 
     def __init__(self, languages: list[str], table: np.ndarray):
         self.languages, self.table = languages, table
 
     @classmethod
-    def fit(cls, rows: list[tuple[str, str]], alpha: float = 0.1) -> TextModel:
-        languages = sorted({lang for lang, _ in rows})
-        counts = np.full((TABLE, len(languages)), alpha)
+    def of_counts(cls, counts: dict[str, np.ndarray], alpha: float = 0.1) -> TextModel:
+        languages = sorted(counts)
+        table = np.zeros((TABLE, len(languages)), dtype=np.float32)
         for j, lang in enumerate(languages):
-            for _, part in _steps([t for x, t in rows if x == lang]):
-                counts[:, j] += np.bincount(_grams(part)[0], minlength=TABLE)
-        table = np.log(counts / counts.sum(axis=0)) + math.log(TABLE)
-        return cls(languages, table.astype(np.float32))
+            smooth = counts[lang] + alpha
+            table[:, j] = np.log(smooth / smooth.sum()) + math.log(TABLE)
+        return cls(languages, table)
+
+    @classmethod
+    def fit(cls, rows: list[tuple[str, str]]) -> TextModel:
+        return cls.of_counts({lang: count_grams([t for x, t in rows if x == lang]) for lang in {lang for lang, _ in rows}})
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(sum of the table's entries, a column a language; number of trigrams) of each text."""
         sums = np.zeros((len(texts), len(self.languages)))
         sizes = np.zeros(len(texts), dtype=np.int64)
-        for at, part in _steps(texts):
-            h, begins = _grams(part)
-            n = np.diff(begins)
+        for at, begins, points in _parts(texts):
+            h, keep = _grams(points)
+            cut = np.searchsorted(keep, begins)
+            n = np.diff(cut)
             some = np.flatnonzero(n)
             if len(some):
-                sums[at + some] = np.add.reduceat(self.table[h], begins[some], axis=0, dtype=np.float64)
-            sizes[at : at + len(part)] = n
+                sums[at + some] += np.add.reduceat(self.table[h], cut[:-1][some], axis=0, dtype=np.float64)
+            sizes[at : at + len(n)] += n
         return sums, sizes
 
 
-def fit_text_model(labelled: DataFrame, rows: int = FIT_ROWS) -> TextModel:
-    """Fits the text model on (text, lang) of at most ``rows`` labelled documents a language; the bound is on fitting only."""
-    labelled = tidy(labelled, ["doc_id", "text", "lang"]).filter(F.col("lang").isNotNull())
+def count_grams(texts: list[str | None]) -> np.ndarray:
+    out = np.zeros(TABLE, dtype=np.int64)
+    for _, _, points in _parts(texts):
+        out += np.bincount(_grams(points)[0], minlength=TABLE)
+    return out
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The trigram counts of a partition's texts by language: one array of TABLE numbers for each."""
+    seen: dict[str, np.ndarray] = {}
+    for batch in bounded(batches, 1):
+        langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for lang in set(langs):
+            seen[lang] = seen.get(lang, 0) + count_grams([t for x, t in zip(langs, texts, strict=True) if x == lang])
+    for lang, counts in seen.items():
+        yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([counts.tobytes()], pa.binary())], ["lang", "counts"])
+
+
+def _summed(parts: pa.Table) -> pa.Table:
+    total = np.zeros(TABLE, dtype=np.int64)
+    for counts in parts.column("counts").to_pylist():
+        total += np.frombuffer(counts, np.int64)
+    return pa.table({"lang": parts.column("lang").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def fit_text_model(labelled: DataFrame, rows: int = FIT_ROWS, languages: int = LANGUAGES) -> TextModel:
+    """Fits the text model on (doc_id, text, lang): at most ``rows`` labelled documents of each of the ``languages`` most frequent labels.
+
+    Both bounds are on fitting only. Texts of any length are counted where they are; the driver gets TABLE numbers a
+    language. Rows with null lang or text aren't labelled; rows that repeat a chosen doc_id and lang count each.
+    An empty or unlabelled table gives a model of no languages, which identifies nothing.
+    """
+    labelled = only(labelled, ["doc_id", "text", "lang"]).filter("lang IS NOT NULL AND text IS NOT NULL")
+    known = [r[0] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
+    if not known:
+        return TextModel.of_counts({})
+    labelled = labelled.filter(F.col("lang").isin(known))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit("fit")), "doc_id")
-    ids = labelled.select("doc_id", "lang", F.row_number().over(order).alias("_n")).filter(F.col("_n") <= rows).select("doc_id", "lang").distinct()
-    found = labelled.join(F.broadcast(ids), ["doc_id", "lang"]).filter(F.col("text").isNotNull()).select("lang", "text").collect()  # rows x languages
-    return TextModel.fit([(r[0], r[1]) for r in found])
+    ids = labelled.select("doc_id", "lang", F.row_number().over(order).alias("_n")).filter(F.col("_n") <= rows).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
+    chosen = labelled.join(maybe_broadcast(ids, rows * len(known), 128), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")), "left_semi")
+    counts = chosen.select("lang", "text").mapInArrow(_counted, "lang string, counts binary").groupBy("lang").applyInArrow(_summed, "lang string, counts binary")
+    return TextModel.of_counts({r[0]: np.frombuffer(r[1], np.int64) for r in counts.collect()})  # TABLE numbers a language
 
 
 def _likelihoods(model: TextModel, is_html: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, -1):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             if is_html:
                 texts = [None if t is None else "\n".join(said for _, said in text_nodes(t)) for t in texts]
@@ -225,7 +284,8 @@ def identify_pages(pages: DataFrame, model: TextModel) -> DataFrame:
 def keep_identified(docs: DataFrame, model: TextModel) -> DataFrame:
     """The rows of ``docs`` that are accepted, all their columns unchanged; rows with equal (doc_id, text, lang, source) fare alike.
 
-    The decision is joined by doc_id. The rejected rows are few in a healthy corpus: they are broadcast
+    What is null, empty or without letters is rejected as :func:`identify` says; a null doc_id is an id like any
+    other. An empty table, or a model of no languages, gives an empty one. The decision is joined by doc_id. The rejected rows are few in a healthy corpus: they are broadcast
     while they are, and shuffled with the documents beyond that.
     """
     docs = tidy(docs, ["doc_id", "text", "lang", "source"], ("_id", "_key"))

@@ -5,10 +5,13 @@ second one that only confirms. The first is cut into three parts: of RADIUS bits
 hold two thirds at most, k. Bit i of those two gets a vector m(i) of k + 1 bits; the mask of a non-zero
 vector v holds the bits with an odd number of ones in m(i) & v. Any k or fewer vectors leave some v
 orthogonal to all of them, so two hashes within RADIUS agree under at least one of the 3 * (2 ** (k + 1) - 1)
-masks: no pair within the radius is missed.
+masks: no pair within the radius is missed. Beyond MANY different hashes the 21 bits of such a mask are too
+few to keep buckets small; then one vector a bit over all 64 gives 2 ** (RADIUS + 1) - 1 masks of about 32
+bits, which cover the same pairs.
 
 Equal hashes collapse first, so thousands of copies are one node. Nodes go to the tasks of their masked
-values as packed bytes; a task compares all pairs inside a bucket and emits a spanning forest only.
+values as packed bytes; a task compares all pairs inside a bucket and emits a spanning forest only. A task
+that a hot bucket makes too large is cut into blocks, every two of which meet in a task of their own.
 """
 
 from __future__ import annotations
@@ -17,31 +20,41 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, maybe_broadcast, only, tidy
+from .common import bounded, durable, maybe_broadcast, only, tidy
 from .wordhash import groups, mix
 
 #: Most bits in which the hashes of words of near duplicates differ; at 6 one in seven copies at Jaccard 0.8 was lost.
 RADIUS = 10
 #: Most bits in which the hashes of word pairs of near duplicates differ.
 CONFIRM = 18
-#: Packed node entries that one bucket task takes, about.
-TASK_ENTRIES = 2_000_000
-
-
-def masks(radius: int = RADIUS, bits: int = 64) -> np.ndarray:
-    """For each two of three parts of the bits, one mask for each non-zero vector of 2 * radius // 3 + 1 bits.
-
-    The bits' own vectors all have the top bit set and are otherwise spread evenly: then no mask is small, as
-    every one holds about half of the two parts' bits or all of them.
+#: Packed node entries that one bucket task takes, about; one estimated at HOT times as many is cut into blocks.
+TASK_ENTRIES = 500_000
+HOT = 4
+#: One hash in so many tells which tasks are hot; that decides how work is cut, not what is compared.
+SAMPLE = 64
+#: Entries that numpy works on at once, and words of one text.
+CHUNK = 400_000
+#: Most partitions of the bucket tasks; beyond it a partition has several tasks, one after the other.
+PARTITIONS = 20_000
+#: From so many different hashes on masks are taken over the whole hash.
+MANY = 1 << 27
+
+
+def masks(radius: int = RADIUS, bits: int = 64, parts: int = 3) -> np.ndarray:
+    """For all but one of ``parts`` parts of the bits (for all bits, if there is one part), one mask for each non-zero vector of k + 1 bits.
+
+    k is the most of radius bits that some such choice of parts can hold at least. The bits' own vectors all
+    have the top bit set and are otherwise spread evenly: then no mask is small, as every one holds about
+    half of its parts' bits or all of them.
     """
-    near = 2 * radius // 3
+    near = radius * (parts - 1) // parts if parts > 1 else radius
     half = 1 << near
     out = []
-    for left in range(3):
-        places = [i for i in range(bits) if i * 3 // bits != left]
+    for left in range(parts):
+        places = [i for i in range(bits) if parts == 1 or i * parts // bits != left]
         vectors = half + np.resize(np.random.default_rng(20240229).permutation(half), len(places))
         for v in range(1, 2 * half):
             odd = np.bitwise_count(vectors & v) & 1
@@ -75,15 +88,12 @@ def _ones(owner: np.ndarray, features: np.ndarray, weight: np.ndarray | None, n:
     return votes
 
 
-def _simhash(owner: np.ndarray, features: np.ndarray, n: int) -> np.ndarray:
-    """64-bit SimHash of each of n texts from its features (hashes, repeated as often as they occur).
+def _votes(owner: np.ndarray, features: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """((n, 64) weights of the bits that are set, sum of weights) over each text's features (hashes, repeated as often as they occur).
 
     Features are sorted together with their owner in one word of 24 and 40 bits, and hashed anew from
     those 40; sums of bits are kept in the bytes of eight lanes.
     """
-    out = np.zeros(n, dtype=np.uint64)
-    if not len(features):
-        return out
     bits = np.uint64(40)
     keys = np.sort((owner.astype(np.uint64) << bits) | (features >> np.uint64(24)))
     new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -93,7 +103,25 @@ def _simhash(owner: np.ndarray, features: np.ndarray, n: int) -> np.ndarray:
     extra = np.minimum(np.round(2 * np.log(counts)), _MOST).astype(np.uint64)
     more = np.flatnonzero(extra)
     total = 2 * np.bincount(owner, minlength=n) + np.bincount(owner[more], extra[more], minlength=n).astype(np.int64)
-    votes = 2 * _ones(owner, features, None, n) + _ones(owner[more], features[more], extra[more], n)
+    return 2 * _ones(owner, features, None, n) + _ones(owner[more], features[more], extra[more], n), total
+
+
+def _simhash(owner: np.ndarray, features: np.ndarray, n: int) -> np.ndarray:
+    """64-bit SimHash of each of n texts; of very many words, classes of equal ones are weighed one after the other."""
+    if not len(features):
+        return np.zeros(n, dtype=np.uint64)
+    classes = -(-len(features) // CHUNK)
+    if classes == 1:
+        votes, total = _votes(owner, features, n)
+    else:
+        votes, total = np.zeros((n, 64), np.int64), np.zeros(n, np.int64)
+        kind = ((features >> np.uint64(24)) % np.uint64(classes)).astype(np.uint32)
+        for c in range(classes):
+            mine = kind == c
+            if mine.any():
+                v, t = _votes(owner[mine], features[mine], n)
+                votes += v
+                total += t
     return np.packbits(2 * votes > total[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
@@ -103,45 +131,96 @@ def hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     one, two, some = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, bool)
     for indices, words, begins in groups(texts):
         sizes = np.diff(begins)
-        owner = np.repeat(np.arange(len(indices)), sizes)
+        owner = np.repeat(np.arange(len(indices), dtype=np.int32), sizes)
         one[indices] = _simhash(owner, words, len(indices))
         last = begins[1:][sizes > 0] - 1
-        follow = np.append(words[1:], np.uint64(0))
-        follow[last[sizes[sizes > 0] > 1]] = 0
-        pair = mix(words * np.uint64(0x9E3779B97F4A7C15) + follow)
+        pair = words * np.uint64(0x9E3779B97F4A7C15)
+        pair[:-1] += words[1:]
+        pair[last[sizes[sizes > 0] == 1]] = words[last[sizes[sizes > 0] == 1]] * np.uint64(0x9E3779B97F4A7C15)
         keep = np.ones(len(words), bool)
         keep[last[sizes[sizes > 0] > 1]] = False  # a text of one word pairs it with nothing
-        two[indices] = _simhash(owner[keep], pair[keep], len(indices))
+        two[indices] = _simhash(owner[keep], mix(pair[keep]), len(indices))
         some[indices] = sizes > 0
     return one, two, some
 
 
 def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in bounded(batches, 2):
         one, two, some = hashes(batch.column(2).to_pylist())
         keep = pa.array(some)
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(one[some].view(np.int64)), pa.array(two[some].view(np.int64))], ["doc_id", "key", "h1", "h2"])
 
 
-def _scatter(cover: np.ndarray, tasks: int):
+def _entries(batches: Iterator[pa.RecordBatch], cover: np.ndarray, tasks: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(task, mask, h1, h2) of every node under every mask, CHUNK at a time; a node goes to the task of its masked value."""
+    some = max(1, CHUNK // len(cover))
+    for batch in batches:
+        h1, h2 = (np.asarray(batch.column(i)).view(np.uint64) for i in (0, 1))
+        for at in range(0, len(h1), some):
+            a, b = h1[at : at + some], h2[at : at + some]
+            table = np.repeat(np.arange(len(cover), dtype=np.uint32), len(a))
+            every = np.tile(a, len(cover))
+            masked = (every & np.repeat(cover, len(a))) + table * np.uint64(0x9E3779B97F4A7C15)
+            yield (mix(masked) % np.uint64(tasks)).astype(np.int64), table, every, np.tile(b, len(cover))
+
+
+def _sizes(cover: np.ndarray, tasks: int):
+    """(task, n): how many entries of this partition's nodes each task gets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, int] = {}
+        for task, _, _, _ in _entries(batches, cover, tasks):
+            for t, n in zip(*(x.tolist() for x in np.unique(task, return_counts=True)), strict=True):
+                total[t] = total.get(t, 0) + n
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["task", "n"])
+
+    return run
+
+
+class Blocks:
+    """Numbers of tasks: a task is its own number, and one that is cut into s blocks has s * (s + 1) / 2 more, one for each two blocks."""
+
+    def __init__(self, tasks: int, cut: dict[int, int]):
+        self.hot = np.array(sorted(cut), dtype=np.int64)
+        self.s = np.array([cut[int(t)] for t in self.hot], dtype=np.int64)
+        more = self.s * (self.s + 1) // 2
+        self.base = tasks + np.cumsum(more) - more
+        self.total = tasks + int(more.sum())
+
+    def spread(self, task: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number, entry): where each entry goes, once for every block that its own meets."""
+        every = np.arange(len(task))
+        if not len(self.hot):
+            return task, every
+        at = np.minimum(np.searchsorted(self.hot, task), len(self.hot) - 1)
+        hot = self.hot[at] == task
+        numbers, entries = [task[~hot]], [every[~hot]]
+        for i in np.unique(at[hot]).tolist():
+            mine = every[hot & (at == i)]
+            s, block = int(self.s[i]), (mix(h1[mine] + mix(h2[mine])) % self.s[i].astype(np.uint64)).astype(np.int64)
+            for other in range(s):
+                low, high = np.minimum(block, other), np.maximum(block, other)
+                numbers.append(self.base[i] + high * (high + 1) // 2 + low)
+                entries.append(mine)
+        return np.concatenate(numbers), np.concatenate(entries)
+
+
+def _scatter(cover: np.ndarray, tasks: int, blocks: Blocks):
     """Each node goes, once for each mask, to the task of its masked value; entries of a task travel as one blob."""
     kind = np.dtype([("mask", "u1" if len(cover) < 256 else "u2" if len(cover) < 65536 else "u4"), ("h1", "u8"), ("h2", "u8")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h1, h2 = (np.asarray(batch.column(i)).view(np.uint64) for i in (0, 1))
-            for at in range(0, len(h1), 8192):
-                a, b = h1[at : at + 8192], h2[at : at + 8192]
-                table = np.repeat(np.arange(len(cover)), len(a))
-                every = np.tile(a, len(cover))
-                task = (mix((every & np.repeat(cover, len(a))) + table.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(tasks)).astype(np.int64)
-                entries = np.empty(len(task), dtype=kind)
-                entries["mask"], entries["h1"], entries["h2"] = table, every, np.tile(b, len(cover))
-                order = np.argsort(task, kind="stable")
-                task, entries = task[order], entries[order]
-                first = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1]]))
-                ends = np.append(first[1:], len(task))
-                yield pa.RecordBatch.from_arrays([pa.array(task[first]), pa.array([entries[i:j].tobytes() for i, j in zip(first, ends, strict=True)], pa.binary())], ["task", "entries"])
+        for task, table, h1, h2 in _entries(batches, cover, tasks):
+            task, picked = blocks.spread(task, h1, h2)
+            order = np.argsort(task, kind="stable")
+            task, picked = task[order], picked[order]
+            entries = np.empty(len(task), dtype=kind)
+            entries["mask"], entries["h1"], entries["h2"] = table[picked], h1[picked], h2[picked]
+            first = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1]]))
+            ends = np.append(first[1:], len(task)).astype(np.int32)
+            offsets = np.append(first, len(task)).astype(np.int32) * kind.itemsize
+            blobs = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(entries)])
+            yield pa.RecordBatch.from_arrays([pa.array(task[first]), blobs], ["task", "entries"])
 
     return run, kind
 
@@ -207,15 +286,25 @@ def near_edges(entries: np.ndarray, cover: np.ndarray, radius: int, confirm: int
 
 
 def _buckets(cover: np.ndarray, kind: np.dtype, radius: int, confirm: int):
+    """Rows sorted by task; what is held is the entries of one task."""
+
+    def linked(held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        e = near_edges(np.frombuffer(b"".join(held), dtype=kind), cover, radius, confirm).view(np.int64)
+        if len(e):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e[:, c])) for c in range(4)], ["a1", "a2", "b1", "b2"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs: dict[int, list[bytes]] = {}
+        held: list[bytes] = []
+        now = None
         for batch in batches:
-            for task, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                blobs.setdefault(task, []).append(blob)
-        for task in sorted(blobs):
-            e = near_edges(np.frombuffer(b"".join(blobs.pop(task)), dtype=kind), cover, radius, confirm).view(np.int64)
-            if len(e):
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e[:, c])) for c in range(4)], ["a1", "a2", "b1", "b2"])
+            for task, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if task != now and held:
+                    yield from linked(held)
+                    held.clear()
+                now = task
+                held.append(blob.as_py())
+        if held:
+            yield from linked(held)
 
     return run
 
@@ -224,17 +313,21 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of an undirected graph (a, b); root is the least node of its component.
 
     Large-star and small-star rounds until nothing changes; the logarithm of the longest path bounds them in
-    practice. Every round's edges are written to the shared folder.
+    practice. Least neighbours are aggregated before any shuffle and joined back, so a hub's edges never meet in one
+    task. Every round's edges are written to the shared folder.
     """
+
+    def starred(edges: DataFrame) -> DataFrame:
+        """With m, the least of a and its neighbours."""
+        least = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("_a"), F.least("a", "m").alias("m"))
+        return edges.join(least, F.col("a") == F.col("_a")).drop("_a")
+
     now = durable(edges.select("a", "b").filter("a <> b").distinct())
     before = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = F.least(F.col("a"), F.min("b").over(Window.partitionBy("a")))
-        large = both.select("a", "b", least.alias("m")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        small = F.min("b").over(Window.partitionBy("a"))
-        stars = down.select("a", "b", small.alias("m"))
+        large = starred(both).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        stars = starred(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
         out = durable(stars.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(stars.select("a", F.col("m").alias("b"))).filter("a <> b").distinct())
         mark = out.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == before:
@@ -249,27 +342,38 @@ def hashed_documents(docs: DataFrame) -> DataFrame:
     return durable(docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(_hash_batches, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key bigint, h1 bigint, h2 bigint"))
 
 
-def near_groups(hashed: DataFrame, radius: int = RADIUS, confirm: int = CONFIRM) -> DataFrame:
+def near_groups(hashed: DataFrame, radius: int = RADIUS, confirm: int = CONFIRM, task_entries: int = TASK_ENTRIES, many: int = MANY) -> DataFrame:
     """(h1, h2, g1, g2): the group of every pair of hashes that has near duplicates, itself among them."""
     nodes = durable(hashed.select("h1", "h2").distinct())
-    cover = masks(radius)
-    tasks = max(1, -(-nodes.count() * len(cover) // TASK_ENTRIES))
-    scatter, kind = _scatter(cover, tasks)
-    sent = nodes.mapInArrow(scatter, "task bigint, entries binary").repartition(tasks, "task")
+    count = nodes.count()
+    cover = masks(radius) if count < many else masks(radius, parts=1)
+    tasks = max(1, -(-count * len(cover) // task_entries))
+    some = nodes.filter(F.pmod(F.xxhash64("h1", "h2"), F.lit(SAMPLE)) == 0)
+    sizes = some.mapInArrow(_sizes(cover, tasks), "task bigint, n bigint").groupBy("task").agg((F.sum("n") * SAMPLE).alias("n")).filter(F.col("n") > HOT * task_entries)
+    blocks = Blocks(tasks, {r[0]: -(-2 * r[1] // task_entries) for r in sizes.collect()})  # one in HOT of the tasks at most
+    scatter, kind = _scatter(cover, tasks, blocks)
+    parts = min(blocks.total, PARTITIONS)
+    sent = nodes.mapInArrow(scatter, "task bigint, entries binary").repartitionById(parts, F.pmod("task", F.lit(parts)).cast("int")).sortWithinPartitions("task")
     edges = sent.mapInArrow(_buckets(cover, kind, radius, confirm), "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
     linked = components(edges.select(F.struct(F.col("a1").alias("x"), F.col("a2").alias("y")).alias("a"), F.struct(F.col("b1").alias("x"), F.col("b2").alias("y")).alias("b")))
     return linked.select(F.col("node.x").alias("h1"), F.col("node.y").alias("h2"), F.col("root.x").alias("g1"), F.col("root.y").alias("g2"))
 
 
 def _placed(docs: DataFrame, radius: int, confirm: int) -> DataFrame:
-    """(doc_id, key, first_id, group_size, n) of the documents in groups; n numbers a group's rows, the first being 1."""
+    """(doc_id, key, first_id, group_size, own) of the documents in groups, a row for each of theirs; own: it is the first or equals it.
+
+    A group is aggregated, never gathered: its first row and its size come from partial sums and are joined back.
+    """
     hashed = hashed_documents(docs)
     found = near_groups(hashed, radius, confirm)
     side = maybe_broadcast(found, found.count(), 64)
-    grouped = hashed.join(side, ["h1", "h2"], "left").select("doc_id", "key", F.coalesce("g1", "h1").alias("g1"), F.coalesce("g2", "h2").alias("g2"))
-    group = Window.partitionBy("g1", "g2")
-    n = F.row_number().over(group.orderBy(F.col("doc_id").asc_nulls_last(), "key"))
-    return grouped.select("doc_id", "key", F.min("doc_id").over(group).alias("first_id"), F.count(F.lit(1)).over(group).alias("group_size"), n.alias("n"))
+    grouped = durable(hashed.join(side, ["h1", "h2"], "left").select("doc_id", "key", F.coalesce("g1", "h1").alias("g1"), F.coalesce("g2", "h2").alias("g2")))
+    place = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("id"), F.col("key").alias("k"))
+    groups_ = grouped.groupBy(F.col("g1").alias("_g1"), F.col("g2").alias("_g2")).agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
+    groups_ = durable(groups_)
+    side = maybe_broadcast(groups_, groups_.count(), 80)
+    own = F.col("doc_id").eqNullSafe(F.col("_first.id")) & (F.col("key") == F.col("_first.k"))
+    return grouped.join(side, (F.col("g1") == F.col("_g1")) & (F.col("g2") == F.col("_g2"))).select("doc_id", "key", F.col("_first.id").alias("first_id"), "group_size", own.alias("own"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, confirm: int = CONFIRM) -> DataFrame:
@@ -278,24 +382,34 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, confirm: int = CONFIR
     Groups are the connected components of the relation "the hashes of words differ in at most radius bits
     and those of word pairs in at most confirm"; duplicate_of is the least doc_id of the group, and
     group_size its rows. Documents without words (null, empty, blank) are in no group. Of rows that repeat
-    an id all but one are listed. Null ids sort after others. An empty table gives an empty one.
+    an id all but one are listed. Null ids sort after others. A text of any length is hashed whole, in steps. An
+    empty table gives an empty one.
     """
-    return _placed(docs, radius, confirm).filter("n > 1").select("doc_id", F.col("first_id").alias("duplicate_of"), "group_size")
+    placed = _placed(docs, radius, confirm)
+    columns = ["doc_id", F.col("first_id").alias("duplicate_of"), "group_size"]
+    again = placed.filter("own").groupBy("doc_id", "key", "first_id", "group_size").agg((F.count(F.lit(1)) - 1).alias("n")).filter("n > 0")
+    million = F.lit(1_000_000)
+    # A first row that repeats is listed as often as it does beyond once, exploded in two steps of bounded arrays.
+    again = again.withColumn("_t", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr("(n - 1) div 1000000")))).withColumn("_u", F.explode(F.array_repeat(F.lit(0), F.least(million, F.col("n") - F.col("_t") * million).cast("int"))))
+    return placed.filter("NOT own").select(*columns).unionByName(again.select(*columns))
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, confirm: int = CONFIRM) -> DataFrame:
     """``docs`` with the first document of each group of :func:`near_duplicates`; all columns unchanged.
 
-    First is the least doc_id, then the least hash of the text. Documents without words all stay. Of rows
-    with the same id and text one stays.
+    First is the least doc_id (null after all others), then the least hash of the text. Documents without words
+    (null, empty, blank) all stay. Of rows with the same id and text the one stays whose columns have the least hash, so
+    that every run keeps the same. An empty table gives an empty one.
     """
-    docs = tidy(docs, ["doc_id", "text"], ("_id", "_key", "_own", "_n"))
-    lost = durable(_placed(docs, radius, confirm).filter("group_size > 1").groupBy("doc_id", "key").agg(F.max((F.col("n") == 1).cast("int")).alias("_own"), F.count(F.lit(1)).alias("_rows")).filter("_own = 0 OR _rows > 1").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "_own"))
+    docs = tidy(docs, ["doc_id", "text"], ("_id", "_key", "_own", "_rows", "_kept"))
+    lost = durable(_placed(docs, radius, confirm).groupBy("doc_id", "key").agg(F.max(F.col("own").cast("int")).alias("_own"), F.count(F.lit(1)).alias("_rows")).filter("_own = 0 OR _rows > 1").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "_own"))
     side = maybe_broadcast(lost, lost.count(), 32)
-    marked = docs.join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left").drop("_id", "_key")
-    kept = marked.filter(F.col("_own").isNull()).drop("_own")
-    if lost.filter("_own = 1").isEmpty():
-        return kept
-    again = marked.filter(F.col("_own") == 1).drop("_own")
-    one = again.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1)))).filter("_n = 1").drop("_n")
-    return kept.unionByName(one)
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
+    repeated = lost.filter("_own = 1")
+    if repeated.isEmpty():
+        return docs.join(side, same, "left_anti")
+    marked = docs.join(side, same, "left")
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = marked.filter("_own = 1").groupBy("_id", "_key").agg(F.min_by(whole, F.xxhash64(*plain)).alias("_kept")).select("_kept.*")
+    return marked.filter(F.col("_own").isNull()).drop("_id", "_key", "_own").unionByName(one)
