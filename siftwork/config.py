@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tomllib
 from dataclasses import dataclass, field, fields, replace
@@ -97,3 +98,19 @@ def preset(name: str) -> Config:
     if name == "monorepo":
         return Config(ignore_paths=tuple(f"{d}/**" for d in ("dist", "build", ".next", "coverage", "node_modules", "vendor")), max_file_size_mb=80, skip_minified_threshold=12_000, cache_enabled=True)
     raise ValueError(f"no preset {name!r}; there are strict, balanced, ci and monorepo")
+
+
+def _value(x) -> str:
+    return "[" + ", ".join(map(_value, x)) + "]" if isinstance(x, tuple) else str(x).lower() if isinstance(x, bool) else f"'{x}'" if isinstance(x, str) else str(x)
+
+
+def init(path: str, name: str = "balanced", force: bool = False) -> str:
+    """Writes a preset's settings as a configuration file; an unknown name means balanced, a file that is there needs ``force``."""
+    config = preset(name if name in ("strict", "balanced", "ci", "monorepo") else "balanced")
+    if os.path.exists(path) and not force:
+        raise FileExistsError(f"{path} exists; force overwrites it")
+    scan = {k: getattr(config, k) for k in ("ignore_paths", "entropy_threshold", "max_file_size_mb", "skip_minified_threshold", "entropy_skip_regex_context")}
+    text = f"# {name}\n[scan]\n" + "".join(f"{k} = {_value(v)}\n" for k, v in scan.items()) + f"\n[cache]\nenabled = {_value(config.cache_enabled)}\nlocation = {_value(config.cache_location)}\n"
+    with open(path, "w") as f:
+        f.write(text)
+    return text

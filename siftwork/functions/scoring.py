@@ -78,6 +78,11 @@ def classify(candidate: Column, rule_id: Column, weights: Weights = Weights()) -
     return F.struct(score.alias("score"), (score >= SECRET_FROM).alias("is_secret"), *[v.alias(k) for k, v in parts.items()])
 
 
+def ensemble_factors(scores: Column) -> Column:
+    """The parts of :func:`classify` as texts: entropy=0.91 and so on."""
+    return F.array(*[F.concat(F.lit(f"{k}="), F.format_number(scores[k].cast("double"), 2)) for k in ("entropy", "char_frequency", "structural", "length")])
+
+
 def nearby_bonus(near: Column, line: Column) -> Column:
     """What a keyword within five lines on either side and an assignment add to the ensemble score."""
     return F.when(near, 0.15).otherwise(0.0) + F.when(contains_any(line, ["=", ":"]), 0.1).otherwise(0.0)

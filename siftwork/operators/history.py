@@ -36,3 +36,9 @@ def scan_history(lines: DataFrame, config: Config = Config()) -> DataFrame:
     nulls = {"verified": "boolean", "confidence": "float", "confidence_factors": "array<string>", "confidence_level": "string", "verification_detail": DETAIL, "ml_score": "float"}
     made = {"path": F.col("path"), "line_number": F.col("new_line").cast("int"), "snippet": F.col("_said"), "context": context, "severity": F.col("hit.severity"), "description": F.col("hit.description"), "rule_id": F.col("hit.rule_id"), "commit_hash": F.substring("commit", 1, 8)}
     return found.select(*[(made[c] if c in made else F.lit(None).cast(nulls[c])).alias(c) for c in FINDING_COLUMNS])
+
+
+def history_stats(lines: DataFrame) -> DataFrame:
+    """One row: commits, files changed in them, and lines added and removed."""
+    changed = F.count_distinct("commit", "path")
+    return lines.agg(F.count_distinct("commit").alias("commits"), changed.alias("files"), F.count_if(F.col("origin") == "+").alias("added"), F.count_if(F.col("origin") == "-").alias("removed"))

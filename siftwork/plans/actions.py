@@ -193,3 +193,24 @@ def log_remediated(path: str, guide: DataFrame) -> int:
             f.write(f"{_now()}\t{r[0]}\t{r[1]}\t{r[2]}\n")
             n += 1
     return n
+
+
+_HOOK = "# written by siftwork"
+
+
+def write_hook(root: str, command: str, strict: bool = False, force: bool = False) -> str:
+    """Writes a pre-commit hook that runs ``command`` on what is staged, and stops the commit where it fails.
+
+    Without ``strict`` only mortal findings count. A hook of someone else's stays unless ``force`` is given.
+    """
+    if not os.path.isdir(os.path.join(root, ".git")):
+        raise ValueError(f"{root} isn't a git repository")
+    folder = os.path.join(root, ".git", "hooks")
+    os.makedirs(folder, exist_ok=True)
+    hook = os.path.join(folder, "pre-commit")
+    if os.path.exists(hook) and not force and _HOOK not in Path(hook).read_text(errors="replace"):
+        raise FileExistsError(f"{hook} is another hook; force overwrites it")
+    flags = "--staged" if strict else "--staged --mortal-only"
+    Path(hook).write_text(f"#!/bin/sh\n{_HOOK}\nif ! {command} {flags}; then\n  echo 'commit stopped: staged files hold secrets' >&2\n  exit 1\nfi\n")
+    os.chmod(hook, 0o755)
+    return hook

@@ -13,11 +13,13 @@ from ..operators import detect
 from ..operators.complexity import complexity_findings
 from ..operators.detect import FINDING, FINDING_COLUMNS, as_findings, dedup_snippets
 from ..operators.history import scan_history
+from ..operators.iac import iac_findings
 from ..operators.state import in_changed_lines, without_false_positives
 from ..session import ship
 from ..sources import git
 from ..sources.files import from_text, read_tree
 from .reports import exit_code, ordered, render
+from .store import cache_folders, scan_with_cache
 
 
 def scan_table(docs: DataFrame, config: Config = Config(), deep: bool = False, complexity: bool = False, feedback: DataFrame | None = None) -> DataFrame:
@@ -34,7 +36,7 @@ def scan_text(spark: SparkSession, text: str, config: Config = Config(), deep: b
     return scan_table(from_text(spark, text), config, deep)
 
 
-def scan_path(spark: SparkSession, root: str, config: Config = Config(), deep: bool = False, complexity: bool = False, diff: bool = False, staged: bool = False, since: str | None = None, mortal_only: bool = False, feedback: DataFrame | None = None) -> DataFrame:
+def scan_path(spark: SparkSession, root: str, config: Config = Config(), deep: bool = False, complexity: bool = False, diff: bool = False, staged: bool = False, since: str | None = None, mortal_only: bool = False, feedback: DataFrame | None = None, infrastructure: bool = False) -> DataFrame:
     """Findings below a file or directory, by path and line.
 
     At most one of diff (what differs from HEAD), staged (the index) and since (a commit; only its changed
@@ -46,13 +48,21 @@ def scan_path(spark: SparkSession, root: str, config: Config = Config(), deep: b
     if paths is not None:
         paths = [p for p in paths if os.path.isfile(p)]
     docs = read_tree(ship(spark), root, config, paths)
-    parts = [scan_table(docs, config, deep, feedback=feedback)]
+    if config.cache_enabled:
+        parts = [scan_with_cache(docs, config, cache_folders(config, root), deep)]
+        if feedback is not None:
+            parts[0] = without_false_positives(parts[0], feedback)
+    else:
+        parts = [scan_table(docs, config, deep, feedback=feedback)]
     if deep and paths is None:
-        parts[0] = dedup_snippets(parts[0])
+        told = F.col("snippet") != ""  # what the cache knows has no snippet to repeat
+        parts[0] = dedup_snippets(parts[0].filter(told)).unionByName(parts[0].filter(~told))
     if deep and os.path.isdir(os.path.join(root, ".git")):
         parts.append(scan_history(git.history(spark, root), config))
     if complexity:
         parts.append(as_findings(complexity_findings(docs)))
+    if infrastructure:
+        parts.append(as_findings(iac_findings(docs)))
     out = reduce(DataFrame.unionByName, [p.select(*FINDING_COLUMNS) for p in parts])
     if since:
         out = in_changed_lines(out, git.line_ranges(spark, root, since))

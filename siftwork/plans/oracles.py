@@ -155,14 +155,19 @@ def survivors(line: str = "line") -> str:
     return f"list_filter({matches(line)}, lambda x: NOT ({veto}))"
 
 
-def hits(source: str) -> str:
-    """CTEs up to found (path, line_number, line, prev, next, snippet, rule_id, severity, description)."""
+def judged() -> str:
+    """The lines of able with h, the first rule that survives, and s, the first strong quoted string outside of code with patterns."""
     strong = f"list_filter({quoted('line')}, lambda s: NOT {value_veto('s')} AND {entropy('s')} > {threshold('path')})"
     code = any_of("lower(line)", vetoes.REGEX_CODE)
+    return f"SELECT *, ({survivors()})[1] AS h, CASE WHEN {code} THEN NULL ELSE ({strong})[1] END AS s FROM able"
+
+
+def hits(source: str) -> str:
+    """CTEs up to found (path, line_number, line, prev, next, snippet, rule_id, severity, description)."""
     return f"""{lines(source)}, able AS (
   SELECT * FROM lines WHERE strlen(line) <= 10000 AND NOT contains(line, 'sift:ignore') AND NOT contains(line, 'sift:honeytoken') AND NOT {line_veto()}
 ), judged AS (
-  SELECT *, ({survivors()})[1] AS h, CASE WHEN {code} THEN NULL ELSE ({strong})[1] END AS s FROM able
+  {judged()}
 ), found AS (
   SELECT path, i + 1 AS line_number, line, prev, next, l, i, {trim('line')} AS snippet, coalesce(h.id, 'HIGH_ENTROPY') AS rule_id, coalesce(h.sev, 'mortal') AS severity, coalesce(h.d, 'High entropy string detected (potential secret)') AS description
   FROM judged WHERE h IS NOT NULL OR s IS NOT NULL
@@ -198,8 +203,8 @@ def level() -> str:
     return f"(['info', 'suspicious', 'critical'])[greatest({score}, coalesce({structural_level()}, 0), 1) + 1]"
 
 
-def ml() -> str:
-    """The ensemble score of the snippet by itself; needs a left join with RULE_VALUES."""
+def ml_parts() -> dict[str, str]:
+    """The parts of the ensemble score of the snippet by itself; needs a left join with RULE_VALUES."""
     n = "strlen(snippet)"
     share = lambda c: f"(len(regexp_replace(snippet, '(?s)[^{c}]', '', 'g')) / {n}::DOUBLE)"
     shares = [share("A-Z"), share("a-z"), share("0-9"), f"(len(regexp_replace(snippet, '[A-Za-z0-9]', '', 'g')) / {n}::DOUBLE)"]
@@ -213,6 +218,12 @@ def ml() -> str:
     low, high = "coalesce(lo, 16)", "coalesce(hi, 500)"
     length = f"(CASE WHEN {n} BETWEEN {low} AND {high} THEN 1 WHEN {n} < {low} THEN {n} / {low}::DOUBLE ELSE least(greatest(1.0 - ({n} - {high}) / {high}::DOUBLE * 0.5, 0.1), 1) END)"
     ent = f"least(greatest(({entropy('snippet')} - 2.0) / 3.5, 0), 1)"
+    return {"entropy": ent, "char_frequency": freq, "structural": struct, "length": length}
+
+
+def ml() -> str:
+    """The ensemble score of the snippet by itself."""
+    ent, freq, struct, length = ml_parts().values()
     return f"({ent} * 0.35::DOUBLE + {freq} * 0.25::DOUBLE + {struct} * 0.25::DOUBLE + {length} * 0.15::DOUBLE)"
 
 

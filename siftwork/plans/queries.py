@@ -14,15 +14,15 @@ from ..functions import text as T
 from ..functions import validators as V
 from ..functions.redact import masked_snippet, redact_log_line, redact_secret
 from ..functions.rules import RULES, custom_rule, java
-from ..functions.scoring import KEYWORDS, classify
-from ..operators import admission, complexity, detect, honeytokens, iac, remediation, scope, semantic, state, vetoes
+from ..functions.scoring import KEYWORDS, classify, ensemble_factors
+from ..operators import admission, complexity, detect, history, honeytokens, iac, remediation, scope, semantic, state, vetoes
 from ..session import shared_dir, spread
-from ..sources.files import from_table
+from ..sources.files import as_texts, from_table, path_filter
 from ..sources.rule_files import rule_table
 from ..streaming import monitor
 from . import oracles as O
-from . import reports
-from .synthetic import STREAM, cases, expression, token_lines
+from . import reports, store
+from .synthetic import STREAM, TOKEN_LINES, cases, expression, token_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -476,7 +476,25 @@ def iac_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GROUP = ('resource "aws_security_group" "g{h2}" {', 'cidr_blocks = ["0.0.0.0/0"]', "from_port = 22", "}", "}}", "x = 1")
 
 
-@query()
+_GROUP_LINES = f"SELECT concat('net', cast(c_nationkey as string), '.tf') AS path, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS i, {cases([expression(t, STREAM.format(key='c_custkey')) for t in _GROUP], '(c_custkey * 5 + c_nationkey)')} AS line FROM customer"
+
+
+def _open_groups(strict: bool) -> str:
+    """Segments begin with a group; one ends at the first line where braces fall below zero (or to it, once opened)."""
+    ends = "depth < 0" + (" OR (depth = 0 AND seen)" if strict else "")
+    return f"""SELECT path, max(CASE WHEN hit AND i < c THEN i END)::INTEGER + 1 AS line_number, 'TF_SG_OPEN_WORLD' AS rule_id, 'critical' AS severity, {str(strict).lower()} AS strict,
+      'Security group is open to any address (port on line ' || (coalesce(max(before), -1) + 1) || ')' AS description
+    FROM (SELECT *, max(CASE WHEN port THEN i END) OVER (PARTITION BY path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p, CASE WHEN i = c THEN p END AS before
+      FROM (SELECT *, c IS NULL OR i <= c AS live, live AND wide AS hit, live AND ports AS port FROM (SELECT *, min(CASE WHEN {ends} THEN i END) OVER (PARTITION BY path, f) AS c FROM depths) a) b) d
+    WHERE c IS NOT NULL GROUP BY path, f HAVING bool_or(hit AND i < c)"""
+
+
+@query(f"""WITH l AS ({_GROUP_LINES}), f AS (
+  SELECT *, sum(regexp_matches(line, {O.q(iac.GROUP_START)})::INTEGER) OVER (PARTITION BY path ORDER BY i) AS f, regexp_matches(line, {O.q(iac.OPEN_CIDR)}) AS wide, regexp_matches(line, {O.q(iac.PORT)}) AS ports,
+    len(regexp_replace(line, '[^{{]', '', 'g')) AS opens, len(regexp_replace(line, '[^}}]', '', 'g')) AS closes FROM l
+), depths AS (
+  SELECT *, sum(opens - closes) OVER (PARTITION BY path, f ORDER BY i) AS depth, sum(opens) OVER (PARTITION BY path, f ORDER BY i) > 0 AS seen FROM f WHERE f > 0
+) {_open_groups(False)} UNION ALL {_open_groups(True)}""")
 def iac_security_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open security groups in synthetic Terraform files, with blocks that close at zero and below zero."""
     made = cases([expression(t, STREAM.format(key="c_custkey")) for t in _GROUP], "(c_custkey * 5 + c_nationkey)")
@@ -487,6 +505,15 @@ def iac_security_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("path", "line_number", "rule_id", "severity", "description", "strict")
 
 
+@query(rf"""WITH files AS ({_IAC_ROWS}), {O.lines('SELECT path, text FROM files')}, k AS (SELECT path, i, line, {_IAC_KIND} AS kind FROM lines JOIN files USING (path)),
+h AS (SELECT path, i, line, unnest(list_filter([{_IAC_TESTS}], lambda x: x.kind = k.kind AND x.hit)) AS r FROM k)
+SELECT path, i + 1 AS line_number, r.id AS rule_id, CASE WHEN r.sev IN ('critical', 'high') THEN 'mortal' ELSE 'venial' END AS severity, {O.trim('line')} AS snippet FROM h""")
+def iac_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Misconfigurations as findings, as they join a scan's."""
+    rows = spark.sql(_IAC_ROWS.replace("FROM part", "FROM {part}"), part=_table(spark, sf_dir, "part"))
+    return detect.as_findings(iac.iac_findings(rows)).select("path", "line_number", "rule_id", "severity", "snippet")
+
+
 # Summaries, baselines, feedback, ranges, caches.
 
 
@@ -554,6 +581,123 @@ def feedback_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.mark_false_positives(some, rows)
 
 
+@query(f"WITH {O.hits(O.DOCS)} SELECT path, line_number, snippet, CASE severity WHEN 'mortal' THEN 'Mortal' ELSE 'Venial' END AS severity, description, rule_id FROM found")
+def transport_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.transport_rows(doc_findings(spark, sf_dir))
+
+
+@query(f"WITH {O.hits(O.DOCS)} SELECT path, line_number, rule_id, concat_ws(' ', {', '.join(f'format({O.q(k + chr(61) + chr(123) + ":.2f" + chr(125))}, ({v})::DOUBLE)' for k, v in O.ml_parts().items())}) AS factors FROM found LEFT JOIN {O.RULE_VALUES} ON id = rule_id")
+def score_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    factors = F.array_join(ensemble_factors(classify(F.col("snippet"), F.col("rule_id"))), " ")
+    return doc_findings(spark, sf_dir).select("path", "line_number", "rule_id", factors.alias("factors"))
+
+
+@query(f"WITH {O.hits(O.DOCS)} SELECT (count(CASE WHEN severity = 'mortal' THEN 1 END) > 0)::INTEGER AS code FROM found")
+def exit_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a scan of all documents exits with."""
+    return spark.createDataFrame([(reports.exit_code(doc_findings(spark, sf_dir)),)], "code int")
+
+
+@query(f"WITH {O.hits(O.DOCS)} {_FOUND} WHERE severity = 'mortal'")
+def mortal_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doc_findings(spark, sf_dir).filter("severity = 'mortal'").select(*_KEPT)
+
+
+@query(f"WITH {O.hits(O.DOCS)} SELECT path, line_number, rule_id, row_number() OVER (ORDER BY severity <> 'mortal', path, line_number, rule_id) AS place FROM found")
+def severity_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places in the list that begins with mortal findings; distributed, by a range sort and the sizes of its partitions."""
+    rows = store.held(reports.by_severity(doc_findings(spark, sf_dir)).select("path", "line_number", "rule_id").withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftright("at", 33)
+    before = [0]
+    for _, n in sorted(rows.groupBy(part.alias("part")).count().collect()):  # a row for each partition of the sort
+        before.append(before[-1] + n)
+    parts = sorted(r[0] for r in rows.select(part.alias("part")).distinct().collect())
+    starts = spark.createDataFrame(list(zip(parts, before, strict=False)), "part bigint, start bigint")
+    return rows.join(F.broadcast(starts), part == F.col("part")).select("path", "line_number", "rule_id", (F.col("start") + F.expr("at & 8589934591") + 1).alias("place"))
+
+
+@query(f"WITH {O.hits(O.DOCS)} {_FOUND} WHERE line_number = 2 ORDER BY path, rule_id LIMIT 1")
+def finding_at_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first finding at a line: one by definition."""
+    return store.finding_at(doc_findings(spark, sf_dir), 2).select(*_KEPT)
+
+
+@query(rf"WITH {O.hits(O.DOCS)} SELECT path, line_number, rule_id FROM found")
+def baseline_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A saved baseline, read again."""
+    where = f"{shared_dir(spark)}/baseline-{uuid.uuid4().hex}"
+    store.save_baseline(doc_findings(spark, sf_dir), where)
+    return store.show_baseline(spark, where)
+
+
+@query(rf"WITH {O.hits(O.DOCS)} SELECT DISTINCT rule_id, sha256(snippet) AS snippet_hash, '*.txt' AS file_pattern FROM found")
+def feedback_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All findings marked twice in a store, which keeps each once."""
+    where = f"{shared_dir(spark)}/feedback-{uuid.uuid4().hex}"
+    found = store.held(doc_findings(spark, sf_dir))
+    store.mark_false_positives(found, where)
+    store.mark_false_positives(found, where)
+    return store.load_feedback(spark, where).select("rule_id", "snippet_hash", "file_pattern")
+
+
+@query(f"WITH {O.hits(O.DOCS)} SELECT path, line_number, rule_id, severity FROM found")
+def cached_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan with a cache that knows every other document already."""
+    where = [f"{shared_dir(spark)}/cache-{uuid.uuid4().hex}"]
+    files = docs(spark, sf_dir).filter("text IS NOT NULL").withColumn("file_hash", T.sha256_hex(F.col("text")))
+    store.scan_with_cache(files.filter(F.length("path") % 2 == 0), Config(), where)
+    return store.scan_with_cache(files, Config(), where).select("path", "line_number", "rule_id", "severity")
+
+
+# Sources.
+
+_FILE_KINDS = "CASE doc_id % 6 WHEN 1 THEN 'image' WHEN 2 THEN 'nul' WHEN 3 THEN 'latin' WHEN 4 THEN 'empty' WHEN 5 THEN 'large' ELSE 'text' END"
+
+
+@query(f"SELECT path, text, sha256(text) AS file_hash FROM (SELECT concat(coalesce(source, 'null'), '/', doc_id, '.txt') AS path, CASE WHEN doc_id % 6 = 4 THEN '' ELSE text END AS text, doc_id FROM documents WHERE text IS NOT NULL) t WHERE doc_id % 6 IN (0, 4)")
+def text_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of documents as files of six kinds: those that are small enough, not binary and valid UTF-8, with their hashes."""
+    rows = _table(spark, sf_dir, "documents").filter("text IS NOT NULL").withColumn("kind", F.expr(_FILE_KINDS))
+    said = F.encode("text", "UTF-8")
+    byte = {"image": F.concat(F.unhex(F.lit("89504E470D0A1A0A")), said), "nul": F.concat(F.unhex(F.lit("00")), said), "latin": F.concat(said, F.unhex(F.lit("0AE9"))), "empty": F.unhex(F.lit(""))}
+    content = said
+    for kind, data in byte.items():
+        content = F.when(F.col("kind") == kind, data).otherwise(content)
+    path = F.concat(F.concat_ws("/", F.coalesce("source", F.lit("null")), F.col("doc_id").cast("string")), F.lit(".txt"))
+    length = F.when(F.col("kind") == "large", F.lit((50 << 20) + 1)).otherwise(F.length(content))
+    return as_texts(rows.select(path.alias("path"), content.alias("content"), length.cast("bigint").alias("length")))
+
+
+_COMMITS = "SELECT concat('c', cast(floor(k / 40) as bigint)) AS commit, concat('src/f', cast(floor(k / 8) as bigint) % 5, CASE k % 3 WHEN 0 THEN '.yml' ELSE '.txt' END) AS path, cast(floor(k / 4) as bigint) % 2 AS hunk, k AS seq, CASE k % 5 WHEN 0 THEN '-' WHEN 1 THEN ' ' ELSE '+' END AS origin, cast(k % 4 + 1 as int) AS new_line, text AS line FROM ({})"
+
+
+def _commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_COMMITS.format("SELECT k, text FROM {tokens}"), tokens=tokens(spark, sf_dir))
+
+
+@query(f"""WITH raw AS ({_COMMITS.format(f"SELECT k, text FROM ({TOKEN_LINES}) t")}), lines AS (
+  SELECT commit, path, new_line, origin, {O.trim('line')} AS line, coalesce(lag(line) OVER (PARTITION BY commit, path, hunk ORDER BY seq), '') AS prev, '' AS next FROM raw
+), able AS (SELECT * FROM lines WHERE origin = '+' AND line <> '' AND NOT {O.line_veto()}), judged AS ({O.judged()})
+SELECT path, new_line AS line_number, left(commit, 8) AS commit_hash, coalesce(h.id, 'HIGH_ENTROPY') AS rule_id, line AS snippet FROM judged WHERE h IS NOT NULL OR s IS NOT NULL""")
+def history_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Added lines of synthetic commits, each with the line before it in its hunk."""
+    return history.scan_history(_commits(spark, sf_dir)).select("path", "line_number", "commit_hash", "rule_id", "snippet")
+
+
+@query(f"""WITH raw AS ({_COMMITS.format(f"SELECT k, text FROM ({TOKEN_LINES}) t")}) SELECT count(DISTINCT commit) AS commits, count(DISTINCT (commit, path)) AS files, count(CASE WHEN origin = '+' THEN 1 END) AS added, count(CASE WHEN origin = '-' THEN 1 END) AS removed FROM raw""")
+def history_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.history_stats(_commits(spark, sf_dir))
+
+
+@query(rf"SELECT k, path, lower(regexp_extract(path, '([^.]*)\z', 1)) AS scope, nullif(regexp_extract(path, '[^/]\.([^./]*)\z', 1), '') AS extension, replace(path, '/', '__') AS flat, NOT regexp_matches(path, '(?s)\A(?:(?:.*/)?docs/.*|.*\.min\.js)\z') AND NOT regexp_matches(path, '(?:unit|conftest)') AS scanned FROM {_PATH_ROWS}")
+def path_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scope extension, extension, name in quarantine, and whether ignored paths and file patterns leave the file."""
+    rows = _table(spark, sf_dir, "part").selectExpr("p_partkey AS k", _PATH_ROWS.split("AS k, ")[1].split(" FROM part")[0])
+    p = F.col("path")
+    config = Config(ignore_paths=("**/docs/**", "*.min.js"), allow_file_patterns=("unit", "conftest"))
+    return rows.select("k", "path", P.scope_extension(p).alias("scope"), P.extension(p).alias("extension"), F.replace(p, F.lit("/"), F.lit("__")).alias("flat"), path_filter(p, config).alias("scanned"))
+
+
 # Remediation.
 
 _ENV = "CASE rule_id " + " ".join(f"WHEN {O.q(k)} THEN {O.q(v)}" for k, v in remediation.ENV_VARS.items()) + " ELSE 'SECRET_NAME' END"

@@ -28,6 +28,16 @@ def ordered(findings: DataFrame) -> DataFrame:
     return findings.orderBy("path", "line_number", "rule_id")
 
 
+def by_severity(findings: DataFrame) -> DataFrame:
+    """Mortal findings first, then by path and line."""
+    return findings.orderBy((F.col("severity") != "mortal").cast("int"), "path", "line_number", "rule_id")
+
+
+def transport_rows(findings: DataFrame) -> DataFrame:
+    """The six fields that workers send each other; the severity begins with a capital."""
+    return findings.select("path", "line_number", "snippet", F.initcap("severity").alias("severity"), "description", "rule_id")
+
+
 def redacted(findings: DataFrame, config: Config = Config()) -> DataFrame:
     """Findings whose snippets are masked, those of custom rules too."""
     masked = masked_snippet(config.redact_visible_chars, config.redact_secrets, config.custom)
