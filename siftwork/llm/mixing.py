@@ -23,7 +23,8 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None
 
     size: characters of its texts. weights: target shares (any scale; a source that isn't named gets
     none); without them a source weighs the square root of its size. budget: characters of the mixture
-    as a multiple of those of the input. A source without characters has rate 0.
+    as a multiple of those of the input. A source without characters has rate 0. Null sources are a source; null and
+    empty texts have no characters; repeated rows count each. An empty table gives an empty one.
     """
     sizes = docs.groupBy("source").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("double").alias("size"))
     if weights is None:
@@ -59,13 +60,11 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     docs = tidy(docs, ["doc_id", "text", "source"], ("copy", "_source", "_parts", "_cdf", "_drawn", "_key"))
     rates = durable(source_rates(docs, weights, budget).select(F.col("source").alias("_source"), F.col("parts").alias("_parts"), F.col("cdf").alias("_cdf")))
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    number = rates.count()
-    hit = docs.join(maybe_broadcast(rates, number, 1200), F.col("source").eqNullSafe(F.col("_source")))
-    drawn = F.aggregate(
-        F.sequence(F.lit(1), F.col("_parts")),
-        F.lit(0),
-        lambda acc, j: acc + F.size(F.filter(F.col("_cdf"), lambda c: c <= unit_hash(F.lit(f"{seed}:"), name, F.lit(":"), j.cast("string")))),
-    )
+    number, terms = rates.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_cdf")), F.lit(0))).first()
+    hit = docs.join(maybe_broadcast(rates, 200 * number + 8 * terms, 1), F.col("source").eqNullSafe(F.col("_source")))
+    # One hash a part, made before the distribution is walked: inside that lambda it would be made for every term.
+    numbers = F.transform(F.sequence(F.lit(1), F.col("_parts")), lambda j: unit_hash(F.lit(f"{seed}:"), name, F.lit(":"), j.cast("string")))
+    drawn = F.aggregate(numbers, F.lit(0), lambda acc, u: acc + F.size(F.filter(F.col("_cdf"), lambda c: c <= u)))
     copies = hit.withColumn("_drawn", drawn).drop("_source", "_parts", "_cdf").filter("_drawn > 0")
     out = copies.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_drawn") - 1))).drop("_drawn")
     if not shuffle:
