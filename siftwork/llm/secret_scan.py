@@ -19,14 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, tidy
+from .common import bounded, only, tidy
 
 #: A token: letters, digits and the signs of base64 and of key prefixes, at least this many in a row.
 LEAST = 8
 #: Fewer characters are no token of their own, but may be a stretch.
 WHOLE = 16
-#: A match is at most 4096 characters and never continues a run, so that base64 blobs come in pieces of equal standing.
-TOKEN = rf"[A-Za-z0-9+/_=-]{{{LEAST},4096}}"
+#: A run of any length is one match. One beyond RUN characters is scored in pieces of equal size, so that no short tail
+#: is left; a piece ends behind glue if there is any within its last BACK characters.
+TOKEN = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
+RUN = 4096
+BACK = 512
 TOKEN_RE = re.compile(TOKEN)
 #: Fewer than WHOLE letters in one case are a word, of a rare language perhaps.
 WORD_RE = re.compile(r"[A-Za-z]?[a-z]+|[A-Z]+")
@@ -38,9 +41,12 @@ MEAN = 0.35
 STRETCH = 20.0
 #: What glues parts of a token; a stretch is reported up to these.
 GLUE = "=/_-"
-#: Ordinary words for training: the least hashes of so many documents at most. The bound is on fitting only.
+#: Ordinary words for training: the most frequent WORDS words of so many documents, those with the least hashes. Both bounds are on fitting only.
 FIT_ROWS = 2000
+WORDS = 20_000
 SEED = 17
+#: Characters of text whose tokens are scored at once.
+STEP = 4 << 20
 PLACEHOLDER = "[SECRET]"
 
 _ALPHABET = string.ascii_lowercase + string.ascii_uppercase + string.digits + "+/_=-"
@@ -203,27 +209,45 @@ def _triples(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return whole[:-2], whole[1:-1], whole[2:]
 
 
-def fit_secret_model(docs: DataFrame, rows: int = FIT_ROWS) -> MarkovRatio:
-    """Trains on labelled_samples with the words of at most ``rows`` documents as ordinary ones; the bound is on fitting only."""
+def fit_secret_model(docs: DataFrame, rows: int = FIT_ROWS, vocabulary: int = WORDS) -> MarkovRatio:
+    """Trains on labelled_samples with the ``vocabulary`` most frequent words of ``rows`` documents at most as ordinary ones; both bounds are on fitting only.
+
+    Null ids and texts give no words; all rows of a chosen id do. A table without words, an empty one for example,
+    leaves the built-in identifiers.
+    """
     docs = only(docs, ["doc_id", "text"])
     ids = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit("fit")), "doc_id").limit(rows)
-    words = docs.join(F.broadcast(ids), "doc_id").select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![\w=\"'])\p{Alpha}{2,24}(?![\w=\"'])"), F.lit(0))).alias("w")).groupBy("w").count().orderBy(F.desc("count"), "w").limit(20_000).collect()
+    words = docs.join(F.broadcast(ids), "doc_id").select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![\w=\"'])\p{Alpha}{2,24}(?![\w=\"'])"), F.lit(0))).alias("w")).groupBy("w").count().orderBy(F.desc("count"), "w").limit(vocabulary).collect()
     return MarkovRatio.fit(labelled_samples([r[0] for r in words]))
 
 
+def pieces(run: str) -> list[tuple[int, str]]:
+    """(start, piece) of a run of token characters."""
+    n = -(-len(run) // RUN)
+    out, at = [], 0
+    for i in range(1, n):
+        end = len(run) * i // n
+        glued = max(run.rfind(c, end - BACK, end) for c in GLUE)
+        end = glued + 1 if glued >= 0 else end
+        out.append((at, run[at:end]))
+        at = end
+    return [*out, (at, run[at:])]
+
+
 def _secrets(model: MarkovRatio, texts: list[str]) -> list[tuple[int, int, int, float]]:
     """(index of the text, start, end, ratio) of every secret; a token that repeats is scored once."""
     places: dict[str, list[tuple[int, int]]] = {}
     for i, text in enumerate(texts):
         for m in TOKEN_RE.finditer(text):
-            places.setdefault(m[0], []).append((i, m.start()))
+            for at, piece in pieces(m[0]):
+                places.setdefault(piece, []).append((i, m.start() + at))
     found = zip(places.values(), model.spans(list(places)), strict=True)
     return sorted((i, at + a, at + b, score) for where, spans in found for a, b, score in spans for i, at in where)
 
 
 def _findings(model: MarkovRatio):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 1):
             texts = batch.column(1).to_pylist()
             found = _secrets(model, texts)
             if not found:
@@ -238,7 +262,7 @@ def _findings(model: MarkovRatio):
 def find_secrets(docs: DataFrame, model: MarkovRatio) -> DataFrame:
     """(doc_id, start, length, secret, score): every secret token or stretch of one; start counts characters from 0.
 
-    score is the log-likelihood ratio in nats. Null and empty texts hold none; null ids stay null, and
+    score is the log-likelihood ratio in nats. Texts and tokens of any length are scored whole (see RUN). Null and empty texts hold none; null ids stay null, and
     repeated rows report their secrets each. An empty table gives an empty one.
     """
     docs = only(docs, ["doc_id", "text"])
@@ -261,7 +285,8 @@ def redact(model: MarkovRatio, text: str) -> str:
 def redact_secrets(docs: DataFrame, model: MarkovRatio) -> DataFrame:
     """``docs`` with every secret in text replaced by PLACEHOLDER and n_chars set to the new length; no row is lost.
 
-    Null and empty texts and texts without secrets stay as they are, with their n_chars.
+    Null and empty texts and texts without secrets stay as they are, with their n_chars. Repeated rows are
+    treated alike. An empty table gives an empty one.
     """
     docs = tidy(docs, ["text", "n_chars"], ("_new",))
     names = docs.columns
@@ -269,10 +294,20 @@ def redact_secrets(docs: DataFrame, model: MarkovRatio) -> DataFrame:
 
     @F.pandas_udf("string")
     def cleaned(texts: pd.Series) -> pd.Series:
-        found: dict[int, list[tuple[int, int]]] = {}
-        for i, a, b, _ in _secrets(model, ["" if t is None else t for t in texts]):
-            found.setdefault(i, []).append((a, b))
-        return pd.Series([_without(t, found[i]) if i in found else None for i, t in enumerate(texts)], index=texts.index, dtype=object)
+        out: list[str | None] = []
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (size < STEP or end == at):
+                size += len(texts.iat[end] or "")
+                end += 1
+            some = [t or "" for t in texts.iloc[at:end]]
+            found: dict[int, list[tuple[int, int]]] = {}
+            for i, a, b, _ in _secrets(model, some):
+                found.setdefault(i, []).append((a, b))
+            out += [_without(t, found[i]) if i in found else None for i, t in enumerate(some)]
+            at = end
+        return pd.Series(out, index=texts.index, dtype=object)
 
     out = docs.withColumn("_new", cleaned(F.when(F.regexp_like("text", F.lit(TOKEN)), F.col("text"))))
     done = {"text": F.coalesce("_new", "text"), "n_chars": F.when(F.col("_new").isNotNull(), F.length("_new").cast(kind)).otherwise(F.col("n_chars"))}
