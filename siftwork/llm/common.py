@@ -101,6 +101,34 @@ def ranked(df: DataFrame, group: list[str], order: list[str], rows: int, name: s
     return put.withColumn("_place", place).join(offsets, keys).withColumn(name, F.col("_before") + F.col("_place")).drop("_bucket", "_place", "_before")
 
 
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
+def numbered(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """(``df`` with ``key`` as bigint, the table (_number, _id) that gives the old ids back or None where they were whole numbers).
+
+    Ids of other types get numbers in their own order, so that least ids stay least. Null stays null.
+    """
+    kind = df.schema[key].dataType.simpleString()
+    others = [F.col(f"`{c}`") for c in df.columns if c != key]
+    if kind in _WHOLE:
+        return df.select(F.col(key).cast("bigint").alias(key), *others), None
+    ids = df.select(F.col(key).alias("_id")).filter("_id IS NOT NULL").distinct().orderBy("_id")
+    names = durable(ids.select(F.monotonically_increasing_id().alias("_number"), "_id"))
+    found = df.join(names, F.col(key) == F.col("_id"), "left")
+    return found.select(F.col("_number").alias(key), *others), names
+
+
+def named(df: DataFrame, names: DataFrame | None, *columns: str) -> DataFrame:
+    """``df`` with the ids back that :func:`numbered` took from these columns."""
+    if names is None:
+        return df
+    kept = df.columns
+    for c in columns:
+        df = df.withColumnRenamed(c, "_old").join(names, F.col("_old") == F.col("_number"), "left").withColumnRenamed("_id", c).drop("_old", "_number")
+    return df.select(*[F.col(f"`{c}`") for c in kept])
+
+
 def bounded(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 << 20, rows: int = 2048) -> Iterator[pa.RecordBatch]:
     """The batches cut so that ``column`` (strings) has about ``most`` bytes in each piece, whatever lengths its texts have; one row at least."""
     for batch in batches:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, bounded, durable, maybe_broadcast, only, tidy
-from .html_extract import text_nodes
+from .html_extract import visible_text
 
 #: Buckets of the trigram table.
 TABLE = 1 << 16
@@ -165,7 +165,7 @@ def _likelihoods(model: TextModel, is_html: bool):
         for batch in bounded(batches, -1):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             if is_html:
-                texts = [None if t is None else "\n".join(said for _, said in text_nodes(t)) for t in texts]
+                texts = [None if t is None else visible_text(t) for t in texts]
             sums, n = model.score(texts)
             scaled = sums * np.where(n > 0, np.minimum(1.0, EFFECTIVE / np.maximum(n, 1)), 0)[:, None]
             level = np.where(n > 0, sums.max(axis=1) / np.maximum(n, 1), -np.inf)
@@ -220,10 +220,14 @@ def identify(rows: DataFrame, model: TextModel, is_html: bool = False) -> DataFr
     false): texts without letters (null and empty ones too; their language is null), those whose
     trigrams fit no language better than chance, and those whose best probability is under SURE. A null
     declared or host tells nothing, a null host's prior being the corpus's. Ties go to the first
-    language of the alphabet. An empty table gives an empty one.
+    language of the alphabet. A text of any length is read whole, in steps of bounded memory. A model of
+    no languages rejects every row, with null language and probability. Repeated rows are judged each. An
+    empty table gives an empty one.
     """
     k = len(model.languages)
     others = [f for f in rows.schema if f.name != "body"]
+    if not k:
+        return rows.select(*[F.col(f"`{f.name}`") for f in others], F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("probability"), F.lit(False).alias("accepted"))
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
     ordered = rows.select(*[F.col(f"`{f.name}`") for f in others], F.col("body").cast("string"))
     ll = durable(ordered.mapInArrow(_likelihoods(model, is_html), f"{shape}, _ll array<double>, _level double, _grams bigint"))

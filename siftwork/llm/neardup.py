@@ -1,13 +1,13 @@
 """Near duplicates by SimHash with covering locality-sensitive hashing.
 
 A document's words, weighted by 1 + log of their counts, give a 64-bit SimHash; its word pairs give a
-second one that only confirms. The first is cut into three parts: of RADIUS bits that differ, some two parts
-hold two thirds at most, k. Bit i of those two gets a vector m(i) of k + 1 bits; the mask of a non-zero
-vector v holds the bits with an odd number of ones in m(i) & v. Any k or fewer vectors leave some v
-orthogonal to all of them, so two hashes within RADIUS agree under at least one of the 3 * (2 ** (k + 1) - 1)
-masks: no pair within the radius is missed. Beyond MANY different hashes the 21 bits of such a mask are too
-few to keep buckets small; then one vector a bit over all 64 gives 2 ** (RADIUS + 1) - 1 masks of about 32
-bits, which cover the same pairs.
+second one that only confirms. The first is cut into parts; of RADIUS bits that differ, all parts but some one
+hold k at most. Bit i of those parts gets a vector m(i) of k + 1 bits; the mask of a non-zero vector v holds
+the bits with an odd number of ones in m(i) & v. Any k or fewer vectors leave some v orthogonal to all of them, so
+two hashes within RADIUS agree under at least one of the parts * (2 ** (k + 1) - 1) masks: no pair within the
+radius is missed. More parts mean more masks of more bits: two parts give 126 masks of some 16 bits, three 765 of
+21, and one vector a bit over the whole hash 4,095 of 32. The number of different hashes decides which cover keeps
+both buckets and shuffle small (COVERS); all of them find the same pairs.
 
 Equal hashes collapse first, so thousands of copies are one node. Nodes go to the tasks of their masked
 values as packed bytes; a task compares all pairs inside a bucket and emits a spanning forest only. A task
@@ -26,12 +26,13 @@ from pyspark.sql import functions as F
 from .common import bounded, durable, maybe_broadcast, only, tidy
 from .wordhash import groups, mix
 
-#: Most bits in which the hashes of words of near duplicates differ; at 6 one in seven copies at Jaccard 0.8 was lost.
-RADIUS = 10
+#: Most bits in which the hashes of words of near duplicates differ. Of sf0.1's pairs with a Jaccard (3-word shingles) of
+#: 0.5 at least 10 keeps 0.94 and 11, which takes no more masks in two parts, 0.97.
+RADIUS = 11
 #: Most bits in which the hashes of word pairs of near duplicates differ.
 CONFIRM = 18
 #: Packed node entries that one bucket task takes, about; one estimated at HOT times as many is cut into blocks.
-TASK_ENTRIES = 500_000
+TASK_ENTRIES = 1_000_000
 HOT = 4
 #: One hash in so many tells which tasks are hot; that decides how work is cut, not what is compared.
 SAMPLE = 64
@@ -39,8 +40,8 @@ SAMPLE = 64
 CHUNK = 400_000
 #: Most partitions of the bucket tasks; beyond it a partition has several tasks, one after the other.
 PARTITIONS = 20_000
-#: From so many different hashes on masks are taken over the whole hash.
-MANY = 1 << 27
+#: (fewer different hashes than this, parts); beyond all of them masks are taken over the whole hash.
+COVERS = ((1 << 25, 2), (1 << 28, 3))
 
 
 def masks(radius: int = RADIUS, bits: int = 64, parts: int = 3) -> np.ndarray:
@@ -158,10 +159,10 @@ def _entries(batches: Iterator[pa.RecordBatch], cover: np.ndarray, tasks: int) -
         h1, h2 = (np.asarray(batch.column(i)).view(np.uint64) for i in (0, 1))
         for at in range(0, len(h1), some):
             a, b = h1[at : at + some], h2[at : at + some]
-            table = np.repeat(np.arange(len(cover), dtype=np.uint32), len(a))
-            every = np.tile(a, len(cover))
-            masked = (every & np.repeat(cover, len(a))) + table * np.uint64(0x9E3779B97F4A7C15)
-            yield (mix(masked) % np.uint64(tasks)).astype(np.int64), table, every, np.tile(b, len(cover))
+            table = np.tile(np.arange(len(cover), dtype=np.uint32), len(a))  # a node's entries stay together: shuffle files compress
+            every = np.repeat(a, len(cover))
+            masked = (every & np.tile(cover, len(a))) + table * np.uint64(0x9E3779B97F4A7C15)
+            yield (mix(masked) % np.uint64(tasks)).astype(np.int64), table, every, np.repeat(b, len(cover))
 
 
 def _sizes(cover: np.ndarray, tasks: int):
@@ -342,21 +343,29 @@ def hashed_documents(docs: DataFrame) -> DataFrame:
     return durable(docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(_hash_batches, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key bigint, h1 bigint, h2 bigint"))
 
 
-def near_groups(hashed: DataFrame, radius: int = RADIUS, confirm: int = CONFIRM, task_entries: int = TASK_ENTRIES, many: int = MANY) -> DataFrame:
+def near_groups(hashed: DataFrame, radius: int = RADIUS, confirm: int = CONFIRM, task_entries: int = TASK_ENTRIES, parts: int | None = None) -> DataFrame:
     """(h1, h2, g1, g2): the group of every pair of hashes that has near duplicates, itself among them."""
-    nodes = durable(hashed.select("h1", "h2").distinct())
+    nodes = durable(hashed.select("h1", "h2").distinct().withColumn("n", F.monotonically_increasing_id()))
     count = nodes.count()
-    cover = masks(radius) if count < many else masks(radius, parts=1)
+    cover = masks(radius, parts=parts or next((p for most, p in COVERS if count < most), 1))
     tasks = max(1, -(-count * len(cover) // task_entries))
     some = nodes.filter(F.pmod(F.xxhash64("h1", "h2"), F.lit(SAMPLE)) == 0)
-    sizes = some.mapInArrow(_sizes(cover, tasks), "task bigint, n bigint").groupBy("task").agg((F.sum("n") * SAMPLE).alias("n")).filter(F.col("n") > HOT * task_entries)
+    sizes = some.select("h1", "h2").mapInArrow(_sizes(cover, tasks), "task bigint, n bigint").groupBy("task").agg((F.sum("n") * SAMPLE).alias("n")).filter(F.col("n") > HOT * task_entries)
     blocks = Blocks(tasks, {r[0]: -(-2 * r[1] // task_entries) for r in sizes.collect()})  # one in HOT of the tasks at most
     scatter, kind = _scatter(cover, tasks, blocks)
-    parts = min(blocks.total, PARTITIONS)
-    sent = nodes.mapInArrow(scatter, "task bigint, entries binary").repartitionById(parts, F.pmod("task", F.lit(parts)).cast("int")).sortWithinPartitions("task")
-    edges = sent.mapInArrow(_buckets(cover, kind, radius, confirm), "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
-    linked = components(edges.select(F.struct(F.col("a1").alias("x"), F.col("a2").alias("y")).alias("a"), F.struct(F.col("b1").alias("x"), F.col("b2").alias("y")).alias("b")))
-    return linked.select(F.col("node.x").alias("h1"), F.col("node.y").alias("h2"), F.col("root.x").alias("g1"), F.col("root.y").alias("g2"))
+    files = min(blocks.total, PARTITIONS)
+    sent = nodes.select("h1", "h2").mapInArrow(scatter, "task bigint, entries binary").repartitionById(files, F.pmod("task", F.lit(files)).cast("int")).sortWithinPartitions("task")
+    edges = durable(sent.mapInArrow(_buckets(cover, kind, radius, confirm), "a1 bigint, a2 bigint, b1 bigint, b2 bigint").distinct())
+    # From here on a node is its number.
+    side = maybe_broadcast(nodes, count, 40)
+    for end in ("a", "b"):
+        known = side.select(F.col("h1").alias("_1"), F.col("h2").alias("_2"), F.col("n").alias(end))
+        edges = edges.join(known, (F.col(f"{end}1") == F.col("_1")) & (F.col(f"{end}2") == F.col("_2"))).drop("_1", "_2")
+    linked = components(edges)
+    for end, names in (("node", ("h1", "h2")), ("root", ("g1", "g2"))):
+        known = side.select(F.col("n").alias("_n"), *[F.col(h).alias(x) for h, x in zip(("h1", "h2"), names, strict=True)])
+        linked = linked.join(known, F.col(end) == F.col("_n")).drop("_n")
+    return durable(linked.select("h1", "h2", "g1", "g2"))
 
 
 def _placed(docs: DataFrame, radius: int, confirm: int) -> DataFrame:

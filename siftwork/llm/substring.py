@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import bounded, named, numbered, only
 from .wordhash import groups, mix
 
 WINDOW = 50
@@ -93,7 +93,7 @@ def _sketch(bits: int, window: int, anchor: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []
-        for batch in batches:
+        for batch in bounded(batches, 0):
             for words, _, _, may in _segments(batch.column(0).to_pylist(), window):
                 _, values, places = _anchors(words, may, window, anchor)
                 kept.append(values[np.unique(places, return_index=True)[1]])
@@ -129,7 +129,7 @@ def _windows(twice, bits: int, window: int, anchor: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [np.frombuffer(x, np.uint8) for x in twice.value]
-        for batch in batches:
+        for batch in bounded(batches, 1):
             ids = batch.column(0)
             for words, owner, place, may in _segments(batch.column(1).to_pylist(), window):
                 starts, values, places = _anchors(words, may, window, anchor)
@@ -201,11 +201,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, most_bits: int = MOST_BITS) -> DataFrame:
-    """(doc_id, start, end, copies, first_id, later): stretches of successive windows, all of one anchor, that occur more than once.
+    """(doc_id, start, end, copies, first_id, later) of (doc_id bigint, text): stretches of successive windows, all of one anchor, that occur more than once.
 
     Windows travel by anchor and in runs, so that a shuffled row stands for a dozen of them.
     """
-    docs = only(docs, ["doc_id", "text"]).filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint"), "text")
+    docs = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     spark = docs.sparkSession
     characters = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     bits = int(min(most_bits, max(12, np.ceil(np.log2(max(1, characters * PER_CHARACTER))))))
@@ -229,19 +229,23 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
     any of its windows has; first_doc_id: the least doc_id in which any of them occurs; removable: the
     run holds a window that isn't that window's first occurrence (by doc_id, then place), so that what
     isn't removable is what a deduplicated corpus keeps. Documents with null id or text and those
-    shorter than the window have no rows. Rows that repeat a doc_id count as further occurrences, and
-    their equal runs are listed once. An empty table gives an empty one.
+    shorter than the window have no rows: a row without an id is outside the corpus, and its windows count
+    for nobody. Ids may be of any type that has an order. Rows that repeat a doc_id count as further occurrences,
+    and their equal runs are listed once. A text of any length is read whole, in segments. An empty table gives an
+    empty one.
     """
+    docs, names = numbered(only(docs, ["doc_id", "text"]), "doc_id")
     spans = repeated_spans(docs, window, anchor, most_bits)
     order = Window.partitionBy("doc_id").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = spans.withColumn("_new", (reach.isNull() | (F.col("start") > reach + 1)).cast("int"))
-    return (
+    passages = (
         marked.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy("doc_id", "_run")
         .agg(F.min("start").alias("start_word"), (F.max("end") - F.min("start") + window).alias("n_words"), F.max("copies").alias("copies"), F.min("first_id").alias("first_doc_id"), (F.max("later") > 0).alias("removable"))
         .drop("_run")
     )
+    return named(passages, names, "doc_id", "first_doc_id")
 
 
 SQL = r"""
