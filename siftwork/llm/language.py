@@ -292,9 +292,10 @@ def keep_identified(docs: DataFrame, model: TextModel) -> DataFrame:
     other. An empty table, or a model of no languages, gives an empty one. The decision is joined by doc_id. The rejected rows are few in a healthy corpus: they are broadcast
     while they are, and shuffled with the documents beyond that.
     """
+    names = tidy(docs, ["doc_id", "text", "lang", "source"]).columns
     docs = tidy(docs, ["doc_id", "text", "lang", "source"], ("_id", "_key"))
     key = F.xxhash64("text", "lang", "source")
     judged = identify(docs.select("doc_id", key.alias("_key"), F.lower("lang").alias("declared"), F.col("source").alias("host"), F.col("text").alias("body")), model)
     out = durable(judged.filter(~F.col("accepted")).select(F.col("doc_id").alias("_id"), "_key").distinct())
     side = F.broadcast(out) if out.count() * 24 <= BROADCAST_BYTES else out
-    return docs.join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left_anti")
+    return docs.join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left_anti").toDF(*names)

@@ -57,6 +57,7 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     the word null. Rows that share a doc_id and a source draw the same count. An empty table gives an
     empty one. Extra columns stay (see ``tidy`` for clashing names).
     """
+    names = tidy(docs, ["doc_id", "text", "source"], ("copy",)).columns
     docs = tidy(docs, ["doc_id", "text", "source"], ("copy", "_source", "_parts", "_cdf", "_drawn", "_key"))
     rates = durable(source_rates(docs, weights, budget).select(F.col("source").alias("_source"), F.col("parts").alias("_parts"), F.col("cdf").alias("_cdf")))
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
@@ -67,10 +68,11 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     drawn = F.aggregate(numbers, F.lit(0), lambda acc, u: acc + F.size(F.filter(F.col("_cdf"), lambda c: c <= u)))
     copies = hit.withColumn("_drawn", drawn).drop("_source", "_parts", "_cdf").filter("_drawn > 0")
     out = copies.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_drawn") - 1))).drop("_drawn")
+    names = [*names, "copy"]
     if not shuffle:
-        return out
+        return out.toDF(*names)
     key = F.xxhash64(F.lit(seed), name, F.col("copy"))
-    return out.withColumn("_key", key).repartition("_key").sortWithinPartitions("_key").drop("_key")
+    return out.withColumn("_key", key).repartition("_key").sortWithinPartitions("_key").drop("_key").toDF(*names)
 
 
 SQL = f"""

@@ -410,15 +410,16 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, confirm: int = C
     (null, empty, blank) all stay. Of rows with the same id and text the one stays whose columns have the least hash, so
     that every run keeps the same. An empty table gives an empty one.
     """
+    names = tidy(docs, ["doc_id", "text"]).columns
     docs = tidy(docs, ["doc_id", "text"], ("_id", "_key", "_own", "_rows", "_kept"))
     lost = durable(_placed(docs, radius, confirm).groupBy("doc_id", "key").agg(F.max(F.col("own").cast("int")).alias("_own"), F.count(F.lit(1)).alias("_rows")).filter("_own = 0 OR _rows > 1").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "_own"))
     side = maybe_broadcast(lost, lost.count(), 32)
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
     repeated = lost.filter("_own = 1")
     if repeated.isEmpty():
-        return docs.join(side, same, "left_anti")
+        return docs.join(side, same, "left_anti").toDF(*names)
     marked = docs.join(side, same, "left")
     plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     one = marked.filter("_own = 1").groupBy("_id", "_key").agg(F.min_by(whole, F.xxhash64(*plain)).alias("_kept")).select("_kept.*")
-    return marked.filter(F.col("_own").isNull()).drop("_id", "_key", "_own").unionByName(one)
+    return marked.filter(F.col("_own").isNull()).drop("_id", "_key", "_own").unionByName(one).toDF(*names)

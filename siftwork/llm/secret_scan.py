@@ -288,8 +288,8 @@ def redact_secrets(docs: DataFrame, model: MarkovRatio) -> DataFrame:
     Null and empty texts and texts without secrets stay as they are, with their n_chars. Repeated rows are
     treated alike. An empty table gives an empty one.
     """
+    names = tidy(docs, ["text", "n_chars"]).columns
     docs = tidy(docs, ["text", "n_chars"], ("_new",))
-    names = docs.columns
     kind = docs.schema["n_chars"].dataType
 
     @F.pandas_udf("string")
@@ -311,4 +311,4 @@ def redact_secrets(docs: DataFrame, model: MarkovRatio) -> DataFrame:
 
     out = docs.withColumn("_new", cleaned(F.when(F.regexp_like("text", F.lit(TOKEN)), F.col("text"))))
     done = {"text": F.coalesce("_new", "text"), "n_chars": F.when(F.col("_new").isNotNull(), F.length("_new").cast(kind)).otherwise(F.col("n_chars"))}
-    return out.select(*[done[c].alias(c) if c in done else F.col(f"`{c}`") for c in names])
+    return out.select(*[done[c].alias(c) if c in done else F.col(f"`{c}`") for c in docs.columns]).toDF(*names)
