@@ -84,14 +84,16 @@ def ignored_ranges(lines: Column, marker: str) -> Column:
 
 
 def numbered(docs: DataFrame, marker: str = "sift", keep: Callable[[Column], Column] | None = None) -> DataFrame:
-    """(path, code_lines, i, line, prev, next, inside, near): one row a line that ``keep`` accepts.
+    """(path, i, line, prev, next, inside, near, scope): one row a line that ``keep`` accepts.
 
-    inside: in an ignore block. near: one of five lines on either side holds a keyword. What a line needs of
-    its neighbours is put into its own struct before the explosion, so that no row carries the whole
-    document, but for source code, whose scope needs it (code_lines).
+    inside: in an ignore block. near: one of five lines on either side holds a keyword. scope: the bits of
+    scope.file_scopes, null but for source code. What a line needs of its neighbours is put into its own
+    struct before the explosion, so that no row carries the whole document.
     """
     base = docs.select("path", lines_of(F.col("text")).alias("lines"))  # no filter on them: it would be pushed below and split every text twice
     lines = F.col("lines")
+    ext = scope_extension(F.coalesce("path", F.lit("")))
+    base = base.withColumn("scopes", scope.scopes_of(F.when(ext.isin(scope.LANGUAGES), lines), ext))
     base = base.withColumn("ranges", ignored_ranges(lines, marker)).withColumn("flags", F.transform(lines, lambda x: contains_any(F.lower(x), KEYWORDS)))
     every = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("line")))
     kept = every if keep is None else F.filter(every, lambda s: keep(s["line"]))
@@ -101,16 +103,15 @@ def numbered(docs: DataFrame, marker: str = "sift", keep: Callable[[Column], Col
         kept,
         lambda s: F.struct(
             s["i"].alias("i"), s["line"].alias("line"), F.when(s["i"] > 0, F.get("lines", s["i"] - 1)).otherwise(F.lit("")).alias("prev"), F.coalesce(F.get("lines", s["i"] + 1), F.lit("")).alias("next"),
-            F.exists("ranges", lambda r: s["i"].between(r["s"], r["e"])).alias("inside"), near(s["i"]).alias("near"),
+            F.exists("ranges", lambda r: s["i"].between(r["s"], r["e"])).alias("inside"), near(s["i"]).alias("near"), F.get("scopes", s["i"]).alias("scope"),
         ),
     )
-    code = F.when(scope_extension(F.col("path")).isin(scope.LANGUAGES), lines)
     # The generator takes the expression itself: for a column of that name a filter on its size would be inferred, pushed below and computed again.
-    return base.select("path", code.alias("code_lines"), F.explode(told).alias("t")).select("path", "code_lines", "t.*")
+    return base.select("path", F.explode(told).alias("t")).select("path", "t.*")
 
 
 def candidates(docs: DataFrame, config: Config, deep: bool) -> DataFrame:
-    """(path, line_idx, line, context, near, lines): lines that aren't ignored, and can match unless ``deep``; lines only where scope needs them."""
+    """(path, line_idx, line, context, near, scope): lines that aren't ignored, and can match unless ``deep``."""
     quick = not deep and not config.custom
 
     def keep(line: Column) -> Column:
@@ -119,7 +120,7 @@ def candidates(docs: DataFrame, config: Config, deep: bool) -> DataFrame:
         out = F.when(F.octet_length(line) > config.skip_minified_threshold, False)
         return (out.when(~F.regexp_like(line, F.lit(java(TRIGGER))), False) if quick else out).otherwise(cheap)
 
-    return numbered(docs, config.marker, keep).filter(~F.col("inside")).select("path", F.col("i").alias("line_idx"), "line", F.array("prev", "line", "next").alias("context"), "near", F.col("code_lines").alias("lines"))
+    return numbered(docs, config.marker, keep).filter(~F.col("inside")).select("path", F.col("i").alias("line_idx"), "line", F.array("prev", "line", "next").alias("context"), "near", "scope")
 
 
 @kept

@@ -430,9 +430,10 @@ def scope_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scope_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every scope flag of every line of synthetic source files in eight languages."""
     files = _code_files(spark, sf_dir)
-    lines = files.select("path", T.lines_of(F.col("text")).alias("lines")).select("path", "lines", F.explode(F.sequence(F.lit(0), F.size("lines") - 1)).alias("line_idx"))
-    flags = scope.scope_of("lines", "line_idx", P.scope_extension(F.col("path")))
-    return lines.select("path", "line_idx", flags.alias("s")).select("path", "line_idx", "s.*")
+    bits = scope.scopes_of(T.lines_of(F.col("text")), P.scope_extension(F.col("path")))
+    rows = files.select("path", F.posexplode(bits).alias("line_idx", "s"))
+    s = F.col("s")
+    return rows.select("path", "line_idx", scope.is_comment(s).alias("in_comment"), scope.is_docstring(s).alias("in_docstring"), scope.is_in_test(s).alias("in_test_function"))
 
 
 _SOURCE = ("def test_{h2}():", "    x = {h4}", "fn run_{h2}() {", "  if a && b {", "    for i in 0..9 {", "      while x || y { }", "}", "#[test]", "describe('{h2}', () => {", "func TestA{h2}(t) {", "  @Test", "end", "", "function g{h2}() {", "    match v { case 1 }", "  } else if z {")

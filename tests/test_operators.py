@@ -197,3 +197,25 @@ def test_honeytokens(spark):
     docs = spark.createDataFrame([(".env.sample", text)], "path string, text string")
     assert detect.scan(docs).count() == 0
     assert {r.token for r in honeytokens.honeytoken_lines(docs).collect()} == {t.value for t in tokens}
+
+
+def test_file_scopes_equal_the_functions_line_by_line():
+    """Every language, with nesting, blank lines and resets; one walk gives what each line gives by itself."""
+    import random
+
+    from siftwork.operators.scope import _HASH, _MARKUP, LANGUAGES
+
+    pieces = ["def test_a():", "async def setUp(self):", "def run():", "x = 1", "", "   ", '"""', "'''", "/* a", "*/", "/** d", "* b", "// c", "# d", "<!-- e", "-->", "mod tests {", "#[test]", "fn a() {", "}", "})", "describe('x', () => {", "it('y', () => {", "func TestA(t) {", "@Test", "void b() {", "it 'z' do", "end"]
+    draw = random.Random(5)
+    for ext in sorted({*LANGUAGES, *_HASH, *_MARKUP, "txt", ""}):
+        for n in (0, 1, 3, 60, 350):
+            lines = [" " * draw.choice((0, 0, 2, 4, 8)) + draw.choice(pieces) for _ in range(n)]
+            want = [scope.in_comment(lines, i, ext) + 2 * scope.in_docstring(lines, i, ext) + 4 * scope.in_test_function(lines, i, ext) for i in range(n)]
+            assert scope.file_scopes(lines, ext) == want, ext
+
+
+def test_scope_of_a_long_file_takes_one_walk(spark):
+    """A file of 60,000 lines, all of them findings or documentation: no row carries the file's lines."""
+    text = "def run():\n" + "    x = 1\n    eval (y)\n" * 30_000
+    rows = spark.createDataFrame([("a.py", text)], "path string, text string")
+    assert detect.scan(rows).count() == 30_000
