@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import cache
 
 MORTAL, VENIAL = "mortal", "venial"
 
@@ -29,6 +30,40 @@ def java(pattern: str) -> str:
     return "(?Ud)" + pattern
 
 
+def _needed(items, folded: bool) -> list[list[str]]:
+    """Of a parsed sequence: texts of which every match has one, for each such group."""
+    out, run = [], ""
+    for op, arg in [*items, (None, None)]:
+        name = str(op)
+        if name == "LITERAL" and not (folded and chr(arg).lower() != chr(arg).upper()):
+            run += chr(arg)
+            continue
+        if run:
+            out.append([run])
+            run = ""
+        if name == "IN" and all(str(o) == "LITERAL" and chr(a).lower() == chr(a).upper() for o, a in arg):
+            out.append([chr(a) for _, a in arg])
+        elif name == "SUBPATTERN" and not (arg[1] or arg[2]):
+            out += _needed(arg[3], folded)
+        elif name in ("MAX_REPEAT", "MIN_REPEAT") and arg[0] > 0:
+            out += _needed(arg[2], folded)
+    return out
+
+
+@cache
+def needed_texts(pattern: str) -> tuple[str, ...]:
+    """Texts of which every match of the pattern contains one: a cheap condition before the pattern. None where it has no such part.
+
+    The longest literal counts, of letters only where case matters; else quotes or the like that stand in a class of their own.
+    """
+    try:
+        parsed = re._parser.parse(pattern)
+    except (re.error, AttributeError):
+        return ()
+    groups = _needed(parsed, bool(parsed.state.flags & re.IGNORECASE))
+    return tuple(max(groups, key=lambda g: (len(g[0]), g[0] in "\"'"))) if groups else ()
+
+
 # Building blocks.
 _Q = "[\"']"
 _ALNUM = "A-Za-z0-9"

@@ -17,7 +17,7 @@ from ..functions import validators as V
 from ..functions.kept import kept
 from ..functions.paths import entropy_threshold, scope_extension
 from ..functions.redact import redact_log_line
-from ..functions.rules import HIGH_ENTROPY, RULES, TRIGGER, Rule, java
+from ..functions.rules import HIGH_ENTROPY, RULES, TRIGGER, Rule, java, needed_texts
 from ..functions.scoring import KEYWORDS, classify, confidence, nearby_bonus
 from ..functions.text import byte_entropy, contains_any, lines_of, quoted_strings, trimmed
 from . import scope, semantic
@@ -35,9 +35,15 @@ def _hit(rule: Rule) -> list[Column]:
     return [F.lit(rule.id).alias("rule_id"), F.lit(rule.severity).alias("severity"), F.lit(rule.description).alias("description")]
 
 
+def matches_rule(line: Column, pattern: str) -> Column:
+    """Whether a rule matches; lines without a text that it needs never meet its expression."""
+    found, texts = F.regexp_like(line, F.lit(java(pattern))), needed_texts(pattern)
+    return contains_any(line, list(texts)) & found if texts else found
+
+
 def rule_matches(line: Column, rules: list[Rule]) -> Column:
     """In rule order, the leftmost match of every rule that has one: ARRAY<STRUCT<rule_id, severity, description, builtin, match>>."""
-    return F.array_compact(F.array(*[F.when(F.regexp_like(line, F.lit(java(r.pattern))), F.struct(*_hit(r), F.lit(r.builtin).alias("builtin"), F.regexp_substr(line, F.lit(java(r.pattern))).alias("match"))) for r in rules]))
+    return F.array_compact(F.array(*[F.when(matches_rule(line, r.pattern), F.struct(*_hit(r), F.lit(r.builtin).alias("builtin"), F.regexp_substr(line, F.lit(java(r.pattern))).alias("match"))) for r in rules]))
 
 
 def _vetoed(m: Column, config: Config) -> Column:
@@ -62,7 +68,8 @@ def first_hit(line: Column, path: Column, context: Column, threshold: Column, co
     ruled = F.get(F.transform(found, lambda m: F.struct(*[m[c].alias(c) for c in ("rule_id", "severity", "description", "match")])), F.lit(0))
     high = F.get(F.transform(strings, lambda q: F.struct(*_hit(HIGH_ENTROPY), q.alias("match"))), F.lit(0))
     high = F.when(~is_regex_code(line), high) if skip else high
-    return F.when(~line_veto(path, line, context), F.coalesce(ruled, high))
+    # The veto last, as most lines have nothing to veto; a filter keeps the hit from being built for each use.
+    return F.get(F.filter(F.array_compact(F.array(F.coalesce(ruled, high))), lambda _: ~line_veto(path, line, context)), F.lit(0))
 
 
 def ignored_ranges(lines: Column, marker: str) -> Column:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import io
+import math
 import tempfile
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
 _ROOT = Path(__file__).resolve().parent
 _SENT = "_siftwork_sent"
 
@@ -25,15 +27,32 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def spread(df: DataFrame, least_bytes: int = 1 << 20) -> DataFrame:
-    """``df`` over all cores where its files give fewer partitions than that (one row group can't be split); else as it is.
+def spread(df: DataFrame, least_bytes: int = 1 << 20, most_rows: int | None = None) -> DataFrame:
+    """``df`` over all cores, none with much more than its share of the rows; as it is where its files give that already.
 
-    Large inputs have many splits, so only small ones are ever shuffled here.
+    A row group can't be split: of a file's splits some get a whole one and others nothing, so rows are
+    counted by partition (of Parquet, only footers are read). most_rows: for narrow rows that are much
+    work, how many a partition may have; then tasks don't grow with the table.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    plan = df._jdf.queryExecution()
-    few = plan.toRdd().getNumPartitions() < cores and plan.optimizedPlan().stats().sizeInBytes() >= least_bytes
-    return df.repartition(cores) if few else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < least_bytes:
+        return df
+    parts = [r[1] for r in df.select(F.spark_partition_id().alias("part")).groupBy("part").count().collect()]
+    rows, most = sum(parts), max(parts, default=0)
+    if most * cores <= 1.25 * rows and most <= (most_rows or most):
+        return df
+    return df.repartition(max(cores, math.ceil(rows / (most_rows or rows)), size >> 26))
+
+
+def held(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back: computed once, and safe from lost executors. It goes when the JVM ends."""
+    spark = df.sparkSession
+    where = f"{shared_dir(spark)}/siftwork/{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(where)
 
 
 def _zipped() -> bytes:
