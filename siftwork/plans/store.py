@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..operators import detect, state
 from ..operators.detect import FINDING, FINDING_COLUMNS
-from ..session import shared_dir
+from ..session import held
 
 BASELINE = "path string, line_number int, rule_id string, snippet_hash string"
 FEEDBACK = "rule_id string, snippet_hash string, file_pattern string, is_false_positive boolean, created_at string"
@@ -45,16 +45,6 @@ def replace(df: DataFrame, where: str) -> None:
     files.delete(former, True)
 
 
-def held(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back: computed once, and safe from lost executors. It goes when the JVM ends."""
-    spark = df.sparkSession
-    where = f"{shared_dir(spark)}/siftwork/{uuid.uuid4().hex}"
-    df.write.parquet(where)
-    path, files = _path(spark, where)
-    files.deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(where)
-
-
 # Baselines.
 
 

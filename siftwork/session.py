@@ -6,12 +6,13 @@ import hashlib
 import io
 import math
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
+
 _ROOT = Path(__file__).resolve().parent
 _SENT = "_siftwork_sent"
 
@@ -34,10 +35,10 @@ def spread(df: DataFrame, least_bytes: int = 1 << 20, most_rows: int | None = No
     counted by partition (of Parquet, only footers are read). most_rows: for narrow rows that are much
     work, how many a partition may have; then tasks don't grow with the table.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size < least_bytes:
         return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
     parts = [r[1] for r in df.select(F.spark_partition_id().alias("part")).groupBy("part").count().collect()]
     rows, most = sum(parts), max(parts, default=0)
     if most * cores <= 1.25 * rows and most <= (most_rows or most):

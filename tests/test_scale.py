@@ -50,3 +50,11 @@ def test_no_match_lacks_the_texts_its_rule_needs(spark, sf_dir):
 @pytest.mark.parametrize(("pattern", "texts"), [("(?i)key.*['\"]x", ("'", '"')), ("a|b", ()), ("(?:ab)?c", ("c",)), ("(?:xy){2}z", ("xy",)), ("(?i:ab)", ()), ("[", ()), (r"(?i)\w+://", ("://",)), ("[ab]cd{0,1}", ("c",))])
 def test_needed_texts(pattern, texts):
     assert set(R.needed_texts(pattern)) == set(texts)
+
+
+def test_migration_plan_has_no_window_over_a_key(spark):
+    found = spark.createDataFrame([(f"p{i % 3}", 1, "GITHUB_TOKEN", "ghp_" + "a1" * 18, "mortal") for i in range(9)], "path string, line_number int, rule_id string, snippet string, severity string")
+    plan = remediation.migration_plan(found)
+    for spec in re.findall(r"Window \[row_number.*", optimized(plan)):
+        assert "], [env_key" in spec and "path#" in spec.split("], [env_key")[1].split("]")[0]
+    assert sorted(r.action for r in plan.collect()) == ["migrate"] + ["skip_key_present"] * 8
