@@ -64,7 +64,7 @@ def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_lines(spread(_table(spark, sf_dir, "orders").select("o_orderkey"), most_rows=100_000))
+    return token_lines(spread(_table(spark, sf_dir, "orders").select("o_orderkey"), least_bytes=1 << 17, most_rows=100_000))
 
 
 def doc_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -577,7 +577,7 @@ def cache_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(rf"WITH {O.hits(O.TOKENS)} SELECT DISTINCT rule_id, sha256(snippet) AS snippet_hash, '*.' || regexp_extract(path, '\.([^./]*)\z', 1) AS file_pattern, true AS is_false_positive FROM found")
 def feedback_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All findings marked, some of them twice."""
-    rows = _fingerprinted(spark, sf_dir)
+    rows = store.held(_fingerprinted(spark, sf_dir).select("path", "snippet", "rule_id", "k"))  # read three times below, scanned once
     some = state.feedback_entry(rows.filter("k % 5 = 0")).dropDuplicates()
     return state.mark_false_positives(some, rows)
 

@@ -58,3 +58,11 @@ def test_migration_plan_has_no_window_over_a_key(spark):
     for spec in re.findall(r"Window \[row_number.*", optimized(plan)):
         assert "], [env_key" in spec and "path#" in spec.split("], [env_key")[1].split("]")[0]
     assert sorted(r.action for r in plan.collect()) == ["migrate"] + ["skip_key_present"] * 8
+
+
+@pytest.mark.parametrize(("query", "columns"), [("severity_order", {"path", "line_number", "rule_id", "severity"}), ("feedback_marks", {"path", "snippet", "rule_id", "k"})])
+def test_findings_that_are_read_again_are_held(spark, sf_dir, monkeypatch, query, columns):
+    seen, held = [], store.held
+    monkeypatch.setattr(store, "held", lambda df: seen.append(set(df.columns)) or held(df))
+    Q.queries()[query](spark, sf_dir)
+    assert seen[0] == columns
