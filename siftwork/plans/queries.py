@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -606,14 +607,16 @@ def mortal_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {O.hits(O.DOCS)} SELECT path, line_number, rule_id, row_number() OVER (ORDER BY severity <> 'mortal', path, line_number, rule_id) AS place FROM found")
 def severity_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places in the list that begins with mortal findings; distributed, by a range sort and the sizes of its partitions."""
-    rows = store.held(reports.by_severity(doc_findings(spark, sf_dir)).select("path", "line_number", "rule_id").withColumn("at", F.monotonically_increasing_id()))
+    """Places in the list that begins with mortal findings; distributed, by a range sort and the sizes of its partitions.
+
+    The findings are held first: a range sort reads its input twice, once for the ranges, and would scan twice.
+    """
+    found = store.held(doc_findings(spark, sf_dir).select("path", "line_number", "rule_id", "severity"))
+    rows = store.held(reports.by_severity(found).select("path", "line_number", "rule_id").withColumn("at", F.monotonically_increasing_id()))
     part = F.shiftright("at", 33)
-    before = [0]
-    for _, n in sorted(rows.groupBy(part.alias("part")).count().collect()):  # a row for each partition of the sort
-        before.append(before[-1] + n)
-    parts = sorted(r[0] for r in rows.select(part.alias("part")).distinct().collect())
-    starts = spark.createDataFrame(list(zip(parts, before, strict=False)), "part bigint, start bigint")
+    sizes = sorted(rows.groupBy(part.alias("part")).count().collect())  # a row for each partition of the sort
+    before = accumulate((n for _, n in sizes), initial=0)
+    starts = spark.createDataFrame([(p, b) for (p, _), b in zip(sizes, before, strict=False)], "part bigint, start bigint")
     return rows.join(F.broadcast(starts), part == F.col("part")).select("path", "line_number", "rule_id", (F.col("start") + F.expr("at & 8589934591") + 1).alias("place"))
 
 
